@@ -142,7 +142,7 @@ class Asked:
         hashes, right, n = self.words[self.entry_word], self.words[self.right[self.order]], self.pair_counts[self.order]
         shards, first = np.unique(self.entry_shard, return_index=True)
         first = np.append(first, len(self.entry_shard))
-        begin = np.concatenate([[0], np.cumsum(fans)])
+        begin = np.concatenate([[0], np.cumsum(fans, dtype=np.int64)])
         for k, s in enumerate(shards.tolist()):
             e, p = slice(first[k], first[k + 1]), slice(begin[first[k]], begin[first[k + 1]])
             yield s, hashes[e].tobytes(), counts[e].tobytes(), fans[e].tobytes(), right[p].tobytes(), n[p].tobytes()

@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of ``documents``. A stage sees only what the stage
-before it kept, written as Parquet and read again.
+before it kept, written as Parquet and read again. Documents are told apart by
+doc_id, null being an id like any other; null texts count as empty, and an
+empty table passes through every stage.
 """
 
 from __future__ import annotations
@@ -10,12 +12,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronostore.llm import packing, quality, simhash
+from chronostore.llm import decontam, line_dedup, packing, quality, simhash
 from chronostore.llm.common import documents, new_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _of(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is (left_semi) or isn't (left_anti) among ``ids``; texts stay on the streamed side."""
+    ids = ids.select(F.col("doc_id").alias("_other")).distinct()
+    return docs.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_other")), how).select(*COLUMNS)
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the classifier gives less than even odds of quality 1.
 
@@ -26,10 +34,21 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.keep(docs, model, settings).select(*COLUMNS)
 
 
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove passages that repeat; every document stays, with what is left of its text."""
+    return line_dedup.dedup_lines(docs).select(*COLUMNS)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep, of each group of near-duplicates, the document with the smallest id."""
-    groups = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(groups.hint("shuffle_hash"), "doc_id", "left_semi").select(*COLUMNS)
+    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
+    return _of(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))), "left_semi")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that leak an item of ``benchmark``."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _of(docs, decontam.overlaps(docs, benchmark), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +60,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality", quality_filter),
+    ("line_dedup", line_dedup_stage),
     ("near_dedup", near_dedup),
+    ("decontamination", decontaminate),
     ("packing", pack),
 ]
 
