@@ -134,7 +134,7 @@ ORACLES: dict[str, str] = {
     "latency_percentiles": """WITH last AS (SELECT event_type AS name, round(value * 1000)::BIGINT AS value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 2048),
         s AS (SELECT name, list_sort(list(value)) AS l, count(*) AS n, sum(value)::BIGINT AS total FROM last GROUP BY name)
         SELECT name, n AS count, total AS sum, l[1] AS least, l[n] AS most, l[ceil(0.5 * n)::INT] AS p50, l[ceil(0.95 * n)::INT] AS p95, l[ceil(0.99 * n)::INT] AS p99 FROM s""",
-    "sync_plan": """WITH e AS (SELECT max(event_id) + 1 AS last FROM events) SELECT s_suppkey AS replica, CASE WHEN s_suppkey * 60 > last THEN 'AHEAD' WHEN s_suppkey * 60 = last THEN 'INCREMENTAL' WHEN s_suppkey = 0 OR s_suppkey * 60 < 3000 THEN 'FULL' ELSE 'INCREMENTAL' END AS plan,
+    "sync_plan": """WITH e AS (SELECT coalesce(max(event_id + 1), 0) AS last FROM events WHERE event_id + 1 > 3000) SELECT s_suppkey AS replica, CASE WHEN s_suppkey * 60 > last THEN 'AHEAD' WHEN s_suppkey * 60 = last THEN 'INCREMENTAL' WHEN s_suppkey = 0 OR s_suppkey * 60 < 3000 THEN 'FULL' ELSE 'INCREMENTAL' END AS plan,
         CASE WHEN s_suppkey * 60 > last OR s_suppkey = 0 OR s_suppkey * 60 < 3000 THEN 0 ELSE last - s_suppkey * 60 END::BIGINT AS commits FROM supplier, e""",
     "wal_compact": f"WITH {_LOG} SELECT {_LOG_SHOWN} FROM log WHERE version > {VERSION}",
     "acl_rows": f"{HEADS} SELECT key, value FROM heads WHERE {_LIVE} AND (starts_with(key, 'user:1') OR starts_with(key, 'user:77'))",
