@@ -41,9 +41,12 @@ def _chunks(text: Column, divisor: int, long_words: int) -> Column:
 
         def chunk(stops: Column, i: Column) -> Column:
             start = lambda k: F.coalesce(F.get(stops, k - 1) + 1, F.lit(0))
-            part = lambda k: F.when((k >= 0) & (k < F.size(stops)), F.slice(hs, start(k) + 1, F.get(stops, k) - start(k) + 1)).otherwise(F.array().cast("array<bigint>"))
+            none = F.array().cast("array<bigint>")
+            part = lambda k: F.when(k < F.size(stops), F.slice(hs, start(k) + 1, F.get(stops, k) - start(k) + 1)).otherwise(none)
+            # A passage's first line may end a chunk in one text and not in another, so two chunks before are compared.
+            early = start(F.greatest(i - 2, F.lit(0)))
             words = F.aggregate(F.slice(ws, start(i) + 1, F.get(stops, i) - start(i) + 1), F.lit(0), lambda a, w: a + w)
-            return F.struct(start(i).alias("first"), F.get(stops, i).alias("last"), words.alias("words"), part(i).alias("hs"), part(i - 1).alias("before"), part(i + 1).alias("after"))
+            return F.struct(start(i).alias("first"), F.get(stops, i).alias("last"), words.alias("words"), part(i).alias("hs"), F.slice(hs, early + 1, start(i) - early).alias("before"), part(i + 1).alias("after"))
 
         return let(F.filter(indices(hs), ends), lambda stops: F.transform(indices(stops), lambda i: chunk(stops, i)))
 
