@@ -4,6 +4,9 @@ Byte-pair merges never cross a pre-token, so a text's ids are its pieces' ids in
 order. Texts are cut at white space that is a pre-token boundary for sure, each
 distinct piece is encoded by the library once a task, and a text's ids are
 joined from the cache. A text with unusual white space is encoded whole.
+
+New pieces are encoded many to a string, with a special token between them:
+the library cuts texts at special tokens before it does anything else.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ import numpy as np
 
 #: Cached pieces of a task; beyond it the cache starts anew, which changes no result.
 CACHE_PIECES = 600_000
+#: New pieces in a string that the library encodes.
+JOINED = 128
 #: White space to str.split() that is none to the tokenizers.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -27,13 +32,34 @@ class PieceCodec:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark, self.mark_id = self._separator()
         self.by_word = self._drops_space()
         self.cache: dict[str, bytes] = {}
         self.limit = cache_pieces
 
+    def _separator(self) -> tuple[str, int]:
+        """A special token that takes nothing from the text beside it; ("", -1) without any."""
+        for number, token in sorted(self.tokenizer.get_added_tokens_decoder().items()):
+            if token.special and not (token.lstrip or token.rstrip or token.single_word or token.normalized):
+                return token.content, number
+        return "", -1
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        if not self.mark:
+            return self._encode(pieces)
+        groups = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
+        out: list[bytes] = []
+        for e in self.tokenizer.encode_batch_fast([self.mark.join(g) for g in groups], add_special_tokens=False):
+            ids = np.asarray(e.ids, dtype="<u4")
+            raw, cut = ids.tobytes(), 4 * np.flatnonzero(ids == self.mark_id)
+            out += [raw[a:b] for a, b in zip([0, *(cut + 4).tolist()], [*cut.tolist(), len(raw)])]
+        if len(out) != len(pieces):
+            raise RuntimeError("a piece holds the separator")
+        return out
+
     def _drops_space(self) -> bool:
         """Whether the tokenizer ignores white space between words."""
         one, other = self._encode(["a b", "a\n \tb"])
@@ -46,7 +72,7 @@ class PieceCodec:
         space and the word, except the first, which starts with NUL here, and
         those after a single line end, which start with it.
         """
-        if _SEPARATORS.search(text) or "\x00" in text:
+        if _SEPARATORS.search(text) or "\x00" in text or (self.mark and self.mark in text):
             return None
         words = text.split()
         if self.by_word:
@@ -76,12 +102,12 @@ class PieceCodec:
             else:
                 todo.append(p)
         todo = list(set(todo).difference(self.cache))
-        self.cache.update(zip(todo, self._encode([self._raw(p) for p in todo])))
+        self.cache.update(zip(todo, self._encode_pieces([self._raw(p) for p in todo])))
         if stems:
             tail = dict(zip(".,", self._encode([".", ","])))
             self.cache.update({p: self.cache[s] + tail[p[-1]] for p, s in stems.items() if s in self.cache})
             lost = [p for p in new if p not in self.cache]
-            self.cache.update(zip(lost, self._encode([self._raw(p) for p in lost])))
+            self.cache.update(zip(lost, self._encode_pieces([self._raw(p) for p in lost])))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
