@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, stored, text_of
-from .token_codec import PieceCodec, crc
+from .token_codec import codec, crc
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SHARD_PIECES = 16_384
@@ -27,10 +27,10 @@ SHARD_PIECES = 16_384
 
 def _cutter(path: str, end_id: int, capacity: int) -> Callable:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, end, width = PieceCodec(path), np.asarray([end_id], dtype="<u4").tobytes(), 4 * capacity
+        encoder, end, width = codec(path), np.asarray([end_id], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), codec.ids(batch.column(1).to_pylist())):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1))):
                 ids += end
                 for k in range(0, len(ids), width):
                     part = ids[k : k + width]

@@ -10,6 +10,7 @@ document range, and the metadata columns can be read without the ids.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +18,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, new_path, text_of
-from .token_codec import PieceCodec, crc
+from .token_codec import codec, crc
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
+#: Documents whose ids are handed to the writer together.
+ROWS = 512
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
 
@@ -28,12 +31,13 @@ def _encoder(path: str, end_id: int) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        codec, part, start = PieceCodec(path), TaskContext.get().partitionId(), 0
+        encoder, part, start = codec(path), TaskContext.get().partitionId(), 0
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                rows = batch.slice(i, 1024)
-                ids = [x + end for x in codec.ids(rows.column(1).to_pylist())]
+            encoded = encoder.ids(batch.column(1))
+            for i in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(i, ROWS)
+                ids = [x + end for x in islice(encoded, rows.num_rows)]
                 n = np.asarray([len(x) // 4 for x in ids], dtype=np.int64)
                 offsets = np.concatenate([[0], np.cumsum(n)])
                 values = pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32))
