@@ -214,6 +214,57 @@ def test_line_dedup(spark):
     assert all(got[i][1] >= len(k) for i, k in want.items())
 
 
+def run_brute(rows, long_words=50):
+    """Lines in a run of long_words words or more, with words at both ends, that an earlier place has, apart from it."""
+    first, runs = {}, []
+    for i, t in sorted(rows):
+        lines = t.split("\n")
+        ws = [len(x.split()) for x in lines]
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                if ws[a] and ws[b] and sum(ws[a : b + 1]) >= long_words:
+                    runs.append((i, a, b, tuple(lines[a : b + 1])))
+                    first.setdefault(runs[-1][3], (i, a))
+    gone = {}
+    for i, a, b, key in runs:
+        j, c = first[key]
+        if (j, c) != (i, a) and not (j == i and a < c + len(key)):
+            gone.setdefault(i, set()).update(range(a, b + 1))
+    return gone
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_line_dedup_finds_every_run_of_fifty_words(spark, seed):
+    """Lines of any length, blank ones too, around passages of any number of lines; no chunk border matters."""
+    rnd = random.Random(seed)
+    line = lambda most: "" if rnd.random() < 0.15 else sentence(rnd, rnd.randint(1, most))
+    passages = [[line(most) for _ in range(rnd.randint(1, 14))] for most in (9, 9, 9, 9, 30, 49, 49, 60, 60, 80) for _ in range(2)]
+    rows = []
+    for i in range(60):
+        lines = [line(12) for _ in range(rnd.randint(0, 5))]
+        for p in rnd.sample(passages, 2):
+            cut = p[rnd.randint(0, 2) :] if rnd.random() < 0.3 else p
+            lines += [*cut, *[line(60) for _ in range(rnd.randint(0, 4))]]
+        rows.append((i, "\n".join(lines)))
+    rows.append((100, "\n".join(["one line again and again"] * 40)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    keyed = df.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_row"), "text")
+    got = {r._id: set(r.gone) for r in line_dedup.repeated_lines(keyed).collect()}
+    want = run_brute(rows)
+    assert sum(map(len, want.values())) > 200 and {i: k - got.get(i, set()) for i, k in want.items() if k - got.get(i, set())} == {}
+    # What goes beyond these runs is in shorter chunks; each line that goes has a line of an earlier place.
+    seen = set()
+    for i, t in rows:
+        for k, x in enumerate(t.split("\n")):
+            assert k not in got.get(i, set()) or x in seen
+            seen.add(x)
+    # Chunks of several lines apart, nothing goes but the runs and blank lines next to them.
+    alone = {r._id: set(r.gone) for r in line_dedup.repeated_lines(keyed, divisor=1).collect()}
+    lines = {i: t.split("\n") for i, t in rows}
+    full = lambda gone: {(i, k) for i, ks in gone.items() for k in ks if lines[i][k]}
+    assert full(alone) == full(want)
+
+
 def test_tokens(spark, sf_dir, docs):
     import public_tokenizers as P
 
