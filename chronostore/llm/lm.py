@@ -194,7 +194,9 @@ def _answer(routes: Routes):
         finally:
             os.unlink(path)
         start = _start_hash()
-        out.append((-1, int(rows["shard"].iloc[0]), b"", b"", b"", int(((total > 0) & (contexts != start)).sum()), model))
+        # The shard's part of each split context's successors.
+        split = np.flatnonzero(hot >= 0)
+        out.append((-1, int(rows["shard"].iloc[0]), hot[split].astype(np.int64).tobytes(), fan[split].tobytes(), b"", int(((total > 0) & (contexts != start)).sum()), model))
         return pd.DataFrame(out, columns=[x.split()[0] for x in ANSWERS.split(", ")])
 
     return run
@@ -206,7 +208,16 @@ def _start_hash() -> np.uint64:
     return np.uint64(xxh64_intdigest(b" "))
 
 
-def _score(routes: Routes, n_train: int, n_words: int):
+def _split_fans(routes: Routes, answers: DataFrame) -> np.ndarray:
+    """Distinct successors of each hot context, over all its parts: one row for each shard, with the parts that it has."""
+    out = np.zeros(len(routes.keys), dtype=np.int64)
+    if len(out):
+        for r in answers.where("block < 0").select("counts", "fans").toLocalIterator():
+            np.add.at(out, _u8(r["counts"], np.int64), _u8(r["fans"], np.uint32).astype(np.int64))
+    return out
+
+
+def _score(routes: Routes, split_fans: np.ndarray, n_train: int, n_words: int):
     below = n_train + ADD * (n_words + 1)
 
     def run(key: tuple, blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -220,6 +231,9 @@ def _score(routes: Routes, n_train: int, n_words: int):
             c = np.zeros(len(asked.words), dtype=np.int64)
             c[asked.entry_word[asked.owned]] = counts[asked.owned]
             fan = np.bincount(asked.entry_word, weights=fans, minlength=len(asked.words))
+            # A block asks only those parts of a split context that own successors of its own.
+            hot = routes.place(asked.words)
+            fan[hot >= 0] = split_fans[hot[hot >= 0]]
             unigram = (c + ADD) / below
             back = np.where(c > 0, np.minimum(1.0, DISCOUNT * fan / np.maximum(c, 1)), 1.0)
             pair = np.log10(dequantise(code) + back[asked.left] * unigram[asked.right])
@@ -286,7 +300,7 @@ def score(docs: DataFrame, held_out: str = "held_out", shard_tokens: int = SHARD
     n_words = int(answers.where("block < 0").agg(F.sum("n_words")).first()[0] or 0)
     replies = answers.where("block >= 0").select("block", "shard", "counts", "fans", "codes")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_score(routes, n_train, n_words), schema)
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_score(routes, _split_fans(routes, answers), n_train, n_words), schema)
 
 
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

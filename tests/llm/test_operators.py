@@ -139,6 +139,17 @@ def test_language_model_over_many_shards(spark, docs):
         assert one[i][0] == pytest.approx(want, abs=QUANTUM * base[i][1]) and many[i][0] == pytest.approx(want, abs=QUANTUM * base[i][1])
 
 
+def test_language_model_counts_all_successors_of_a_split_context(spark):
+    """Each block has few of the successors of a word that is split over shards; its back-off mass is that of all."""
+    rnd = random.Random(5)
+    rows = [(i, " ".join(f"the {sentence(rnd, 1)}{i}x{k}" for k in range(3 if i % 3 else 60))) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
+    many = by_id(lm.score(df.repartition(45, "doc_id"), shard_tokens=400), "score")
+    base = brute.lm_base(rows)
+    for i, want in brute.lm_bigram(rows).items():
+        assert many[i][0] == pytest.approx(want, abs=QUANTUM * base[i][1])
+
+
 def test_secrets(spark, sf_dir, docs):
     got = by_id(QUERIES["op3_secret_scan"](spark, sf_dir), "n_assign", "n_access", "n_hex", "base_sha256")
     assert got == {i: brute.secrets(t) for i, t in docs} and any(v[0] for v in got.values()) and any(v[1] for v in got.values()) and any(v[2] for v in got.values())
