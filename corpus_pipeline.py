@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronostore.llm import decontam, line_dedup, packing, quality, simhash
+from chronostore.llm import decontam, jaccard, line_dedup, packing, quality
 from chronostore.llm.common import documents, new_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -40,8 +40,11 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep, of each group of near-duplicates, the document with the smallest id."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
+    """Keep, of each group of near-duplicates, the document with the smallest id.
+
+    Links are pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+    """
+    groups = jaccard.similar_groups(docs.select("doc_id", "text"))
     return _of(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))), "left_semi")
 
 
@@ -66,7 +69,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL cannot express the classifier, the fingerprints or the packing.
+#: SQL cannot express the classifier, the sketches or the packing.
 ORACLE_SQL = None
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from chronostore.llm import decontam, exact_dedup, line_dedup, lm, packing, pii, quality, secrets, simhash, token_files
+from chronostore.llm import decontam, exact_dedup, jaccard, line_dedup, lm, packing, pii, quality, secrets, simhash, token_files
 from chronostore.llm.common import new_path
 from chronostore.llm.elias_fano import STEP
 from chronostore.llm.queries import QUERIES
@@ -318,6 +318,40 @@ def test_simhash(spark, sf_dir, docs):
     assert got == brute.simhash_components(docs)
 
 
+def test_near_dedup_stage_links_pairs_of_jaccard_four_fifths(spark, sf_dir):
+    """Copies with changed words: groups are those of all pairs of five-word Jaccard 0.8 or more, and a crowd of near copies is one."""
+    import corpus_pipeline as P
+
+    rnd = random.Random(8)
+    rows = [(2, ""), (3, None), (4, "one two"), (5, "One  two"), (6, "one three")]
+    for i in range(10, 210, 2):
+        ws = sentence(rnd, rnd.randint(100, 400)).split()
+        near = list(ws)
+        for k in rnd.sample(range(len(ws)), int(len(ws) * rnd.choice([0.003, 0.01, 0.02, 0.025, 0.04, 0.08]))):
+            near[k] = word(rnd) + "x"
+        rows += [(i, " ".join(ws)), (i + 1, " ".join(near))]
+    base = sentence(rnd, 200).split()
+    for i in range(300, 380):
+        rows.append((i, " ".join(w if k != i - 300 and k != 2 * i - 600 else f"w{i}" for k, w in enumerate(base))))
+    sets = {i: {" ".join(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))} for i, t in rows for ws in [brute.words(t)]}
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    df = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], DOCUMENTS)
+    assert {r.doc_id: r.component_id for r in jaccard.similar_groups(df).collect()} == {i: root(i) for i in sets}
+    kept = {r.doc_id for r in P.near_dedup(spark, df, sf_dir).collect()}
+    assert kept == {i for i in sets if root(i) == i} and 20 < sum(i in kept for i in range(11, 210, 2)) < 90
+
+
 @pytest.mark.parametrize("budget", [1, 3, 6])
 def test_trie_join_finds_all_pairs(budget):
     rnd = np.random.default_rng(budget)
