@@ -9,7 +9,7 @@ Most pieces are a plain word, or one with punctuation behind it, which is a
 pre-token of its own. Normalizing changes nothing but the case of a plain word
 and pre-tokenizing leaves it in one piece, so the library encodes many plain
 words in one string with both steps left out. Words are kept for the worker's
-later batches, as Arrow and numpy arrays. Other pieces are encoded many to a
+later batches, up to a number of bytes. Other pieces are encoded many to a
 string, with a special token between them: the library cuts texts at special
 tokens before it does anything else.
 """
@@ -18,18 +18,18 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words that a worker keeps, about 40 bytes each; beyond it they start anew, which changes no result.
-CACHE_WORDS = 1_000_000
+#: What a worker's words and their ids may take before a batch; beyond it they start anew, which changes no result.
+CACHE_BYTES = 24 << 20
 #: Pieces in a string that the library encodes.
 JOINED = 256
 #: Text that is cut into pieces at a time; one longer text is cut alone.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 4 << 20
 #: Texts whose ids are gathered together.
 TEXTS = 512
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -63,10 +63,55 @@ def _gather(pool: Ragged, which: np.ndarray) -> Ragged:
     return pool[0][np.repeat(start - ends[:-1], size) + np.arange(ends[-1])], ends
 
 
+class WordPool:
+    """Words and their ids, in flat arrays. When they take more than ``limit`` bytes, all but the newest are let go.
+
+    A word is found by its 64-bit hash and then compared itself.
+    """
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.at = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        self.words, self.known = pa.array([], pa.string()), _ragged([])
+
+    def size(self) -> int:
+        return sum(x.nbytes for x in (self.hashes, self.at, self.words, *self.known))
+
+    def _find(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """Place of each word in the pool, or -1."""
+        if not len(self.hashes):
+            return np.full(len(words), -1, dtype=np.int64)
+        near = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        place = np.where(self.hashes[near] == hashes, self.at[near], -1).astype(np.int64)
+        same = pc.equal(words, self.words.take(pa.array(np.maximum(place, 0)))).to_numpy(zero_copy_only=False)
+        return np.where(same, place, -1)
+
+    def of(self, words: pa.Array, encode: Callable[[list[str]], Ragged]) -> Ragged:
+        """Ids of each of distinct ``words``; ``encode`` makes those of new ones."""
+        listed = words.to_pylist()
+        hashes = np.fromiter(map(hash, listed), dtype=np.int64, count=len(listed))
+        if self.size() > self.limit:
+            self.clear()
+        place = self._find(words, hashes)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            n = len(self.words)
+            self.known = _joined(self.known, encode([listed[i] for i in new.tolist()]))
+            self.words = pa.concat_arrays([self.words, words.take(pa.array(new))])
+            place[new] = n + np.arange(len(new))
+            order = new[np.argsort(hashes[new], kind="stable")]
+            spot = np.searchsorted(self.hashes, hashes[order])
+            self.hashes, self.at = np.insert(self.hashes, spot, hashes[order]), np.insert(self.at, spot, place[order])
+        return _gather(self.known, place)
+
+
 class PieceCodec:
     """``ids(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         # Spark runs a task on each core already.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -75,10 +120,9 @@ class PieceCodec:
         self.mark, self.mark_id = self._separator()
         one, other = (self._encode([t])[0].tolist() for t in ("a b", "a\n \tb"))
         self.by_word = one == other  # white space between words is ignored
-        self.bare, self.comma = self._without_steps(Tokenizer.from_file(path))
+        self.bare, self.comma = self._without_steps(Tokenizer(self.tokenizer.model))  # one vocabulary serves both
         self.line_end = self._encode(["\n"])
-        self.words, self.known = pa.array([], pa.string()), _ragged([])
-        self.limit = cache_words
+        self.words = WordPool(cache_bytes)
 
     def _separator(self) -> tuple[str, int]:
         """A special token that takes nothing from the text beside it; ("", -1) without any."""
@@ -118,12 +162,7 @@ class PieceCodec:
 
     def _of_words(self, words: pa.Array) -> Ragged:
         """Ids of distinct plain words, each with the space before it if one belongs to it."""
-        new = words.filter(pc.invert(pc.is_in(words, value_set=self.words)))
-        if len(self.words) + len(new) > self.limit:
-            self.words, self.known, new = words.slice(0, 0), _ragged([]), words
-        self.known = _joined(self.known, self._encode_joined(self.bare, new.to_pylist(), "\n,\n", self.comma))
-        self.words = pa.concat_arrays([self.words, new])
-        return _gather(self.known, pc.index_in(words, value_set=self.words).to_numpy(zero_copy_only=False))
+        return self.words.of(words, lambda new: self._encode_joined(self.bare, new, "\n,\n", self.comma))
 
     def _of_pieces(self, pieces: pa.Array) -> Ragged:
         """Ids of distinct pieces; byte-level ones start with NUL or a line end, or stand for a space and the piece."""

@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from .common import documents, new_path, text_of
 from .token_codec import codec, crc
 
-ROW_GROUP_BYTES = 32 << 20
+ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
+#: Text in a file at most, about, which bounds a task's work however large the table is.
+FILE_BYTES = 128 << 20
 #: Documents whose ids are handed to the writer together.
 ROWS = 512
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
@@ -56,22 +58,27 @@ def _encoder(path: str, end_id: int) -> Callable:
     return encode
 
 
-def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int, parts: int | None = None) -> None:
+def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int, parts: int | None = None, row_group_bytes: int = ROW_GROUP_BYTES) -> None:
     """Encode ``docs`` and write them to ``out``, globally sorted by doc_id.
 
     Null texts are empty and give the end id alone; null doc_ids come first;
     repeated doc_ids lie side by side, ordered by a hash of the text; no rows,
-    no documents. ``parts``: number of ranges, by default the shuffle
-    partitions of the session; one range is one file, so it bounds a task's work.
+    no documents. A very long text is one row of one file, cut into pieces of
+    its own while it is encoded. Other columns of ``docs`` are not read,
+    whatever their names. ``parts``: number of ranges, each of which is one
+    file; by default as many as hold FILE_BYTES of text each, and no fewer
+    than the session's shuffle partitions.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
+    if parts is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     ranged = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     ranged.mapInArrow(_encoder(tokenizer_path, end_id), SCHEMA).write.options(
         **{
             "compression": "zstd",
-            "parquet.block.size": str(ROW_GROUP_BYTES),
+            "parquet.block.size": str(row_group_bytes),
             "parquet.page.size": str(PAGE_BYTES),
             "parquet.enable.dictionary": "true",
             "parquet.writer.version": "v2",

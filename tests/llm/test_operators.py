@@ -290,6 +290,34 @@ def test_tokens(spark, sf_dir, docs):
     assert ids == [*Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(docs[7][1], add_special_tokens=False).ids, 2]
 
 
+def test_token_files_are_encoded_and_indexed_as_stated(spark):
+    """Ids are dictionary encoded, every column has page indexes, and row groups hold disjoint ranges of documents."""
+    import pyarrow.parquet as pq
+
+    import public_tokenizers as P
+
+    rnd = random.Random(3)
+    rows = [(i, sentence(rnd, 400)) for i in range(3000)]
+    path = new_path(spark, "tokens")
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("ids", F.lit("x")).withColumn("part", F.lit(9))
+    token_files.write_tokens(df, path, P.path("byte_bpe_50k.json"), 2, parts=2, row_group_bytes=256 << 10)
+    files = [f for f in os.listdir(path) if f.endswith(".parquet")]
+    assert len(files) == 2
+    for f in files:
+        meta = pq.ParquetFile(f"{path}/{f}").metadata
+        groups = [meta.row_group(i) for i in range(meta.num_row_groups)]
+        assert len(groups) > 2
+        for g in groups:
+            for c in range(g.num_columns):
+                assert g.column(c).has_column_index and g.column(c).has_offset_index
+            assert "RLE_DICTIONARY" in g.column(4).encodings and g.column(4).path_in_schema.startswith("ids")
+        ranges = [(g.column(0).statistics.min, g.column(0).statistics.max) for g in groups]
+        assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    found = spark.read.parquet(path).where("doc_id = 1234").select("n_tokens")
+    assert found.count() == 1 and "EqualTo(doc_id,1234)" in found._jdf.queryExecution().executedPlan().toString()
+    assert "ids" not in found._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+
+
 def test_decontamination(spark):
     rnd = random.Random(9)
     item = sentence(rnd, 40).split()
