@@ -25,11 +25,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: What a worker's words and their ids may take before a batch; beyond it they start anew, which changes no result.
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 32 << 20
 #: Pieces in a string that the library encodes.
 JOINED = 256
 #: Text that is cut into pieces at a time; one longer text is cut alone.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 #: Texts whose ids are gathered together.
 TEXTS = 512
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -91,7 +91,7 @@ class WordPool:
 
     def of(self, words: pa.Array, encode: Callable[[list[str]], Ragged]) -> Ragged:
         """Ids of each of distinct ``words``; ``encode`` makes those of new ones."""
-        listed = words.to_pylist()
+        listed = words.to_numpy(zero_copy_only=False)
         hashes = np.fromiter(map(hash, listed), dtype=np.int64, count=len(listed))
         if self.size() > self.limit:
             self.clear()
@@ -99,7 +99,7 @@ class WordPool:
         new = np.flatnonzero(place < 0)
         if len(new):
             n = len(self.words)
-            self.known = _joined(self.known, encode([listed[i] for i in new.tolist()]))
+            self.known = _joined(self.known, encode(listed[new].tolist()))
             self.words = pa.concat_arrays([self.words, words.take(pa.array(new))])
             place[new] = n + np.arange(len(new))
             order = new[np.argsort(hashes[new], kind="stable")]
@@ -167,7 +167,7 @@ class PieceCodec:
     def _of_pieces(self, pieces: pa.Array) -> Ragged:
         """Ids of distinct pieces; byte-level ones start with NUL or a line end, or stand for a space and the piece."""
         plain = pc.match_substring_regex(pieces if self.by_word else pc.utf8_ltrim(pieces, "\0\n"), _PLAIN) if self.bare else pa.array(np.zeros(len(pieces), dtype=bool))
-        other = pieces.filter(pc.invert(plain)).to_pylist()
+        other = pieces.filter(pc.invert(plain)).to_numpy(zero_copy_only=False).tolist()
         pool_other = self._encode_pieces(other if self.by_word else [p[1:] if p[:1] == "\0" else p if p[:1] == "\n" else " " + p for p in other])
         simple = pieces.filter(plain)
         body = simple if self.by_word else pc.utf8_ltrim(simple, "\0\n")
