@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binary import seconds_left
-from ..functions.blocks import MICROS, VERSIONS, block_of, carried_last, joined
+from ..functions.blocks import HOT_ROWS, MICROS, VERSIONS, blocked, carried, carried_last, hot_only
 
 ROW = ("version", "value", "tombstone", "committed_at", "expires_at", "restored_from_version", "tombstone_reason")
-#: Versions that the SQL history reads before it filters; rows of a page.
-PREFETCH, PAGE = 1000, 100
+#: Versions that the SQL history reads before it filters; rows of a page; bytes of values that a page may have.
+PREFETCH, PAGE, PAGE_BYTES = 1000, 100, 16 << 20
 
 
 def visible(at: Column) -> Column:
@@ -41,8 +41,12 @@ def current(chain: DataFrame, now: datetime | str) -> DataFrame:
     return heads(chain).where(visible(instant(now))).select("key", "value", "version")
 
 
-def latest_version(chain: DataFrame) -> DataFrame:
-    return chain.groupBy("key").agg(F.max("version").alias("version"))
+def latest_version(chain: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """(key, version): each key's highest version. With ``keys``, a row for each of them, 0 without any version."""
+    found = chain.groupBy("key").agg(F.max("version").alias("version"))
+    if keys is None:
+        return found
+    return keys.select("key").join(found, "key", "left").select("key", F.coalesce("version", F.lit(0).cast("bigint")).alias("version"))
 
 
 def is_current(chain: DataFrame, pairs: DataFrame, now: datetime | str) -> DataFrame:
@@ -60,42 +64,49 @@ def ttl(chain: DataFrame, keys: DataFrame, now: datetime | str) -> DataFrame:
     return keys.select("key").join(live, "key", "left").select("key", left.cast("bigint").alias("ttl"))
 
 
-def as_of(chain: DataFrame, version: int | None = None, timestamp: datetime | str | None = None) -> DataFrame:
+def as_of(chain: DataFrame, version: int | None = None, timestamp: datetime | str | None = None, boundaries: DataFrame | None = None) -> DataFrame:
     """(key, version, value, state, expires_at) at a point, for keys that have a version there.
 
     At a version: the newest at or below it, deadlines ignored. At a time: the
     highest version committed at or before it, with deadlines as of that time.
-    ``state`` is VALUE or DELETED, and a deleted row has no value.
+    ``state`` is VALUE or DELETED, and a deleted row has no value. With the
+    ``boundaries`` of a chain that retention cut, keys that had a version at
+    the point, but keep none, give a row of state UNAVAILABLE without a version.
     """
     if (version is None) == (timestamp is None):
         raise ValueError("give a version or a timestamp")
     if version is not None:
-        found, lives = heads(chain.where(F.col("version") <= version)), ~F.col("tombstone")
+        found, lives, began = heads(chain.where(F.col("version") <= version)), ~F.col("tombstone"), F.col("first_version") <= version
     else:
         at = instant(timestamp)
-        found, lives = heads(chain.where(F.col("committed_at") <= at)), visible(at)
-    return found.select("key", "version", F.when(lives, F.col("value")).alias("value"), F.when(lives, "VALUE").otherwise("DELETED").alias("state"), "expires_at")
+        found, lives, began = heads(chain.where(F.col("committed_at") <= at)), visible(at), F.col("first_committed_at") <= at
+    out = found.select("key", "version", F.when(lives, F.col("value")).alias("value"), F.when(lives, "VALUE").otherwise("DELETED").alias("state"), "expires_at")
+    if boundaries is None:
+        return out
+    cut = boundaries.where(F.col("truncated") & began).select("key")
+    return out.join(cut, "key", "full").withColumn("state", F.coalesce("state", F.lit("UNAVAILABLE")))
 
 
-def intervals(chain: DataFrame, block: int = VERSIONS) -> DataFrame:
+def intervals(chain: DataFrame, block: int = VERSIONS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``chain`` with next_version and next_committed_at: a version holds until then, exclusive; null: still.
 
     A later version with an earlier commit time ends all before it, so the
-    next commit time is the least of all later ones.
+    next commit time is the least of all later ones. Windows run from the
+    newest version down, which makes that a running minimum.
     """
-    rows = chain.withColumn("_block", block_of(F.col("version"), block))
-    order = Window.partitionBy("key", "_block").orderBy("version")
-    rest = order.rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("next_version", F.lead("version").over(order)).withColumn("next_committed_at", F.min("committed_at").over(rest))
-    ends = rows.groupBy("key", "_block").agg(F.min("version").alias("v"), F.min("committed_at").alias("t"))
-    blocks = Window.partitionBy("key").orderBy("_block")
-    later = blocks.rowsBetween(1, Window.unboundedFollowing)
-    carry = ends.select("key", "_block", F.lead("v").over(blocks).alias("_v"), F.min("t").over(later).alias("_t"))
-    rows = joined(rows, carry, "key", "_block")
-    return rows.withColumn("next_version", F.coalesce("next_version", "_v")).withColumn("next_committed_at", F.least("next_committed_at", "_t")).drop("_block", "_v", "_t")
-
-
-def as_of_points(chain: DataFrame, points: DataFrame, block: int | None = None) -> DataFrame:
+    rows, part = blocked(chain, F.col("version"), block, hot_rows)
+    down = Window.partitionBy(*part).orderBy(F.desc("version"))
+    out = rows.withColumn("next_version", F.lag("version").over(down)).withColumn("next_committed_at", F.min("committed_at").over(down.rowsBetween(Window.unboundedPreceding, -1)))
+    if part == ("key",):
+        return out
+    ends = hot_only(rows).groupBy("key", "_block").agg(F.min("version").alias("v"), F.min("committed_at").alias("t"))
+    blocks = Window.partitionBy("key").orderBy(F.desc("_block"))
+    carry = ends.select("key", "_block", F.lag("v").over(blocks).alias("_v"), F.min("t").over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("_t"))
+    out = carried(out, carry)
+    return out.withColumn("next_version", F.coalesce("next_version", "_v")).withColumn("next_committed_at", F.least("next_committed_at", "_t")).drop("_hot", "_block", "_v", "_t")
+
+
+def as_of_points(chain: DataFrame, points: DataFrame, block: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """As-of join: ``points`` (key, at_version or at_timestamp, any other columns) with version, value and state.
 
     The state is MISSING where the key has no version there. Repeated points
@@ -103,7 +114,7 @@ def as_of_points(chain: DataFrame, points: DataFrame, block: int | None = None)
     """
     by_time = "at_timestamp" in points.columns
     if by_time:
-        held = intervals(chain).where(F.col("next_committed_at").isNull() | (F.col("committed_at") < F.col("next_committed_at")))
+        held = intervals(chain, hot_rows=hot_rows).where(F.col("next_committed_at").isNull() | (F.col("committed_at") < F.col("next_committed_at")))
         held = held.withColumn("_at", F.unix_micros("committed_at"))
         at, width = F.unix_micros("at_timestamp"), block or MICROS
     else:
@@ -112,7 +123,7 @@ def as_of_points(chain: DataFrame, points: DataFrame, block: int | None = None)
     left = held.select("key", "_at", F.lit(0).alias("_side"), found.alias("_row"))
     right = points.select("key", at.cast("bigint").alias("_at"), F.lit(1).alias("_side"), F.struct(*points.columns).alias("_point"))
     both = left.unionByName(right, allowMissingColumns=True)
-    got = carried_last(both, ("_at", "_side"), width, "_row", "_found").where("_side = 1")
+    got = carried_last(both, ("_at", "_side"), width, "_row", "_found", hot_rows).where("_side = 1")
     row = F.when(F.col("_at").isNotNull(), F.col("_found"))
     lives = ~row["tombstone"]
     if by_time:
@@ -121,14 +132,15 @@ def as_of_points(chain: DataFrame, points: DataFrame, block: int | None = None)
 
 
 def lookup_status(chain: DataFrame, boundaries: DataFrame, points: DataFrame) -> DataFrame:
-    """(key, at_version, status) of ``points``: FOUND, KEY_NOT_FOUND or HISTORY_UNAVAILABLE.
+    """(key, at_version or at_timestamp, status) of ``points``: FOUND, KEY_NOT_FOUND or HISTORY_UNAVAILABLE.
 
     A point from the key's first version on that retention has left nothing
     for is unavailable; without a collected version it isn't found.
     """
-    got = as_of_points(chain, points.select("key", "at_version")).join(boundaries, "key", "left")
-    gone = F.col("truncated") & (F.col("at_version") >= F.col("first_version"))
-    return got.select("key", "at_version", F.when(F.col("state") != "MISSING", "FOUND").when(gone, "HISTORY_UNAVAILABLE").otherwise("KEY_NOT_FOUND").alias("status"))
+    at, first = ("at_timestamp", "first_committed_at") if "at_timestamp" in points.columns else ("at_version", "first_version")
+    got = as_of_points(chain, points.select("key", at)).join(boundaries.select("key", first, "truncated"), "key", "left")
+    gone = F.col("truncated") & (F.col(at) >= F.col(first))
+    return got.select("key", at, F.when(F.col("state") != "MISSING", "FOUND").when(gone, "HISTORY_UNAVAILABLE").otherwise("KEY_NOT_FOUND").alias("status"))
 
 
 def newest(chain: DataFrame, n: int) -> DataFrame:
@@ -145,6 +157,12 @@ def history(chain: DataFrame, offset: int = 0, limit: int = PAGE) -> DataFrame:
     return page.select("key", "version", F.unix_millis("committed_at").alias("committed_ms"), F.when(F.col("tombstone"), "TOMBSTONE").otherwise("VALUE").alias("state"), "value")
 
 
+def history_bytes(page: DataFrame) -> DataFrame:
+    """(key, versions, bytes, fits) of a page of ``history``: bytes of each key's values, and whether they keep to 16 MiB."""
+    size = F.sum(F.coalesce(F.octet_length("value"), F.lit(0))).cast("bigint")
+    return page.groupBy("key").agg(F.count("*").alias("versions"), size.alias("bytes")).withColumn("fits", F.col("bytes") <= PAGE_BYTES)
+
+
 def history_where(chain: DataFrame, least: int = 0, ascending: bool = False, offset: int = 0, limit: int = PAGE) -> DataFrame:
     """As ``history``, but of the newest 1,000 versions only those from ``least`` on, in either order."""
     order = Window.partitionBy("key").orderBy(F.asc("version") if ascending else F.desc("version"))

@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binary import seconds_left
 from ..schema import MAX_WRITE_BYTES, MAX_WRITES
 from ..sources.shared import numbered
 from .chain import as_of, current, heads, instant, latest_version, visible
@@ -53,7 +54,8 @@ def restore_at(chain: DataFrame, keys: DataFrame, at_version: int, version: int,
     """Log rows that restore ``keys`` to the newest version at or below ``at_version``.
 
     The source's own version, value and absolute deadline are carried; a
-    deleted source restores a tombstone; keys without a source give no row.
+    deleted source restores a tombstone; keys without a source give no row,
+    whether they had none yet or retention removed it (``lookup_status`` tells).
     """
     old = as_of(chain, version=at_version).join(keys.select("key").distinct(), "key", "left_semi").withColumnRenamed("version", "source")
     dead = F.col("state") == "DELETED"
@@ -72,7 +74,7 @@ def expire_due(chain: DataFrame, now: datetime | str, last_version: int) -> Data
 
 
 def conflicts(chain: DataFrame, writes: DataFrame, snapshot_version: int) -> DataFrame:
-    """(key, latest_version): written keys that were committed after the snapshot; any at all abort the transaction."""
+    """(key, latest_version): written keys that were committed after the snapshot; any at all refuse the commit."""
     late = latest_version(chain.where(F.col("version") > snapshot_version))
     return late.join(writes.select("key").distinct(), "key", "left_semi").select("key", F.col("version").alias("latest_version"))
 
@@ -86,20 +88,44 @@ def write_set_faults(writes: DataFrame) -> DataFrame:
 
 
 def transaction_view(chain: DataFrame, writes: DataFrame, snapshot_version: int, now: datetime | str) -> DataFrame:
-    """(key, value): what a transaction reads: its snapshot, visible now, under its own ``writes`` (key, op, value, deadline)."""
+    """(key, value, expires_at): what a transaction reads: its snapshot, visible now, under its own ``writes`` (key, op, value, deadline)."""
     at = instant(now)
     base = heads(chain.where(F.col("version") <= snapshot_version)).where(visible(at)).select("key", F.col("value").alias("old"), "expires_at")
     own = writes.select("key", "op", F.col("value").alias("new"), "deadline")
     both = base.join(own, "key", "full")
-    due = F.coalesce(F.col("deadline") <= at, F.lit(False))
-    value = (
-        F.when(F.col("op").isNull(), F.col("old"))
-        .when(F.col("op").isin("PUT", "RESTORE_PUT"), F.when(~due, F.col("new")))
-        .when(F.col("op") == "EXPIRE", F.when(~due, F.col("old")))
-    )
-    return both.select("key", value.alias("value")).where("value IS NOT NULL")
+    op, puts = F.col("op"), F.col("op").isin("PUT", "RESTORE_PUT")
+    due = (op != "PUT") & F.coalesce(F.col("deadline") <= at, F.lit(False))
+    value = F.when(op.isNull(), F.col("old")).when(puts & ~due, F.col("new")).when((op == "EXPIRE") & ~due, F.col("old"))
+    expires = F.when(op.isNull(), F.col("expires_at")).when(op.isin("RESTORE_PUT", "EXPIRE"), F.col("deadline"))
+    return both.select("key", value.alias("value"), expires.alias("expires_at")).where("value IS NOT NULL")
+
+
+def transaction_ttl(chain: DataFrame, writes: DataFrame, snapshot_version: int, now: datetime | str, keys: DataFrame) -> DataFrame:
+    """(key, ttl) of ``keys`` inside a transaction: -2 not visible to it, -1 without a deadline, else whole seconds left."""
+    at = instant(now)
+    live = transaction_view(chain, writes, snapshot_version, now).select("key", F.lit(1).alias("_live"), "expires_at")
+    left = F.when(F.col("_live").isNull(), -2).when(F.col("expires_at").isNull(), -1).otherwise(seconds_left(F.col("expires_at"), at))
+    return keys.select("key").join(live, "key", "left").select("key", left.cast("bigint").alias("ttl"))
+
 
+class TransactionConflict(Exception):
+    """The keys that were committed after the transaction's snapshot; nothing was committed."""
 
-def commit(writes: DataFrame, version: int, at: datetime | str) -> DataFrame:
-    """Log rows of a write set, all at one version; without writes, none."""
-    return _rows(writes, F.lit(version), instant(at), F.col("op"), F.col("value"), F.col("deadline"))
+    def __init__(self, keys: list[str]):
+        super().__init__(f"{len(keys)} written keys changed since the snapshot")
+        self.keys = keys
+
+
+def commit(chain: DataFrame, writes: DataFrame, snapshot_version: int, version: int, at: datetime | str) -> DataFrame:
+    """Log rows of a transaction's write set, all at one version; without writes, none.
+
+    The first committer wins: if any written key has a version above
+    ``snapshot_version``, the whole transaction is refused with
+    TransactionConflict. ``writes``: key, op, value, deadline and, where some
+    are restores, restored_from_version.
+    """
+    lost = [r.key for r in conflicts(chain, writes, snapshot_version).select("key").collect()]  # at most MAX_WRITES
+    if lost:
+        raise TransactionConflict(sorted(lost))
+    source = F.col("restored_from_version") if "restored_from_version" in writes.columns else None
+    return _rows(writes, F.lit(version), instant(at), F.col("op"), F.col("value"), F.col("deadline"), source)

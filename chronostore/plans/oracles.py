@@ -6,7 +6,7 @@ aggregates and NOT EXISTS in place of blocks, carries and as-of joins.
 
 from __future__ import annotations
 
-from .queries import LATER, NOW, ORDERS_THEN, RULE_ROWS, THEN, VERSION
+from .queries import ASKED, EARLY, LATER, NOW, ORDERS_THEN, RULE_ROWS, THEN, VERSION
 
 _LOG = """log AS (
   SELECT 'user:' || user_id AS key, event_id + 1 AS version, ts AS committed_at,
@@ -66,7 +66,23 @@ cut AS (SELECT *, CASE WHEN oh IS NULL OR nh IS NULL OR oh = '' OR nh = '' THEN
 
 _DIFF_SHOWN = "SELECT key, before_state, after_state, n AS common_prefix, substr(ov, n + 1) AS before_suffix, substr(nv, n + 1) AS after_suffix FROM cut"
 _AT = lambda v: f"SELECT key, CASE WHEN tombstone THEN NULL ELSE value END AS value, CASE WHEN tombstone THEN 'DELETED' ELSE 'VALUE' END AS state FROM (SELECT unnest(arg_max(c, version)) FROM chain c WHERE version <= {v} GROUP BY key)"
-_T10 = "TIMESTAMP '2024-01-10 00:00:00'"
+_T10 = f"TIMESTAMP '{EARLY}'"
+_LEFT = lambda v: f"""SELECT s.key, a.version, CASE WHEN NOT a.tombstone THEN a.value END AS value, CASE WHEN a.key IS NULL THEN 'UNAVAILABLE' WHEN a.tombstone THEN 'DELETED' ELSE 'VALUE' END AS state
+  FROM (SELECT DISTINCT key FROM chain WHERE version <= {v}) s LEFT JOIN (SELECT unnest(arg_max(k, version)) FROM kept k WHERE version <= {v} GROUP BY key) a ON s.key = a.key"""
+_CUT_CHAIN = f"WITH {_LOG}, cut AS (SELECT * FROM log WHERE version <= {VERSION}),\n{_chain('cut')}"
+
+
+def _one_diff(old: str, new: str) -> str:
+    """Before and after of one key, by look-ups of a single row each."""
+    return f"""{CHAIN}, o AS (SELECT * FROM ({old}) WHERE key = '{ASKED}'), n AS (SELECT * FROM ({new}) WHERE key = '{ASKED}')
+      SELECT coalesce((SELECT state FROM o), 'MISSING') AS before_state, (SELECT value FROM o) AS before_value, coalesce((SELECT state FROM n), 'MISSING') AS after_state, (SELECT value FROM n) AS after_value"""
+
+
+def _timed(at: str) -> str:
+    return _point(f"committed_at <= TIMESTAMP '{at}'", f"NOT tombstone AND (expires_at IS NULL OR TIMESTAMP '{at}' < expires_at)")
+
+
+
 _DOCS = "chain AS (SELECT source AS key, doc_id + 1 AS version, coalesce(text, '') AS value, false AS tombstone FROM documents WHERE doc_id IS NOT NULL)"
 _RESTORE = f"""back AS (
   SELECT a.key, 1000000000 AS version, TIMESTAMP '{NOW}' AS committed_at, CASE WHEN c.tombstone THEN 'RESTORE_TOMBSTONE' ELSE 'RESTORE_PUT' END AS op,
@@ -121,6 +137,32 @@ ORACLES: dict[str, str] = {
     "lookup_status": f"""{CHAIN}, {_ASKED}, {_kept(0)}, points AS (SELECT key, unnest([50, {VERSION}, 1000000000])::BIGINT AS at_version FROM asked)
         SELECT p.key, p.at_version, CASE WHEN EXISTS (SELECT 1 FROM kept k WHERE k.key = p.key AND k.version <= p.at_version) THEN 'FOUND'
           WHEN EXISTS (SELECT 1 FROM chain c WHERE c.key = p.key AND c.version <= p.at_version) THEN 'HISTORY_UNAVAILABLE' ELSE 'KEY_NOT_FOUND' END AS status FROM points p""",
+    "lookup_status_timestamps": f"""{CHAIN}, {_ASKED}, {_kept(0)}, points AS (SELECT key, unnest([{_T10}, TIMESTAMP '{THEN}', TIMESTAMP '{NOW}']) AS t FROM asked)
+        SELECT p.key, epoch_us(p.t) AS at_us, CASE WHEN EXISTS (SELECT 1 FROM kept k WHERE k.key = p.key AND k.committed_at <= p.t) THEN 'FOUND'
+          WHEN EXISTS (SELECT 1 FROM chain c WHERE c.key = p.key AND c.committed_at <= p.t) THEN 'HISTORY_UNAVAILABLE' ELSE 'KEY_NOT_FOUND' END AS status FROM points p""",
+    "getat_retained": f"{CHAIN}, {_kept(0)} {_LEFT(VERSION)}",
+    "diff_retained": _diff(_LEFT(VERSION), _LEFT(LATER), f"{CHAIN}, {_kept(0)}")
+    + """, shown AS (SELECT *, before_state <> 'UNAVAILABLE' AND after_state <> 'UNAVAILABLE' AS ok FROM cut)
+        SELECT key, before_state, after_state, CASE WHEN ok THEN n END AS common_prefix, CASE WHEN ok THEN substr(ov, n + 1) END AS before_suffix, CASE WHEN ok THEN substr(nv, n + 1) END AS after_suffix FROM shown""",
+    "latest_version_asked": f"WITH {_ASKED} SELECT a.key, coalesce((SELECT max(event_id) + 1 FROM events e WHERE 'user:' || e.user_id = a.key), 0) AS version FROM asked a",
+    "history_payload": f"""WITH {_DOCS}, page AS (SELECT key, value FROM chain QUALIFY row_number() OVER (PARTITION BY key ORDER BY version DESC) <= 1000)
+        SELECT key, count(*) AS versions, sum(strlen(value))::BIGINT AS bytes, sum(strlen(value)) <= 16777216 AS fits FROM page GROUP BY key""",
+    "txn_refused": f"WITH {_LOG}, {_WRITES} SELECT DISTINCT w.key FROM writes w WHERE EXISTS (SELECT 1 FROM log l WHERE l.key = w.key AND l.version > {VERSION})",
+    "txn_ttl": f"""{CHAIN}, {_ASKED}, {_WRITES}, t AS (SELECT TIMESTAMP '2024-01-30 06:00:00' AS now), base AS (SELECT key, expires_at FROM (SELECT unnest(arg_max(c, version)) FROM chain c WHERE version <= {LATER} GROUP BY key), t WHERE NOT tombstone AND (expires_at IS NULL OR now < expires_at)),
+        seen AS (SELECT key, expires_at FROM base WHERE key NOT IN (SELECT key FROM writes) UNION ALL SELECT key, NULL FROM writes WHERE op = 'PUT'
+          UNION ALL SELECT b.key, w.deadline FROM base b JOIN writes w ON w.key = b.key AND w.op = 'EXPIRE', t WHERE w.deadline > now)
+        SELECT a.key, CASE WHEN s.key IS NULL THEN -2 WHEN s.expires_at IS NULL THEN -1 ELSE (epoch_us(s.expires_at) - epoch_us(now)) // 1000000 END::BIGINT AS ttl FROM asked a LEFT JOIN seen s ON s.key = a.key, t""",
+    "recovered_boundaries": f"""{_CUT_CHAIN}, {_kept(0)}, gone AS (SELECT key, count(*) AS n FROM chain c WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.key = c.key AND k.version = c.version) GROUP BY key)
+        SELECT key, min(version) AS first_version, epoch_us(arg_min(committed_at, version)) AS first_committed_us, key IN (SELECT key FROM gone) AS truncated FROM log GROUP BY key""",
+    "maintained_snapshot": f"{CHAIN}, {_kept(0)} SELECT {_SHOWN} FROM kept WHERE version <= {LATER}",
+    "sql_current": f"{HEADS} SELECT key, value, version FROM heads WHERE {_LIVE}",
+    "sql_as_of_version": f"{CHAIN} {_point(f'version <= {VERSION}')}",
+    "sql_as_of_timestamp": f"{CHAIN} {_timed(THEN)}",
+    "sql_history": f"""{CHAIN}, last AS (SELECT * FROM chain WHERE key = '{ASKED}' ORDER BY version DESC LIMIT 1000)
+        SELECT version, epoch_us(committed_at) // 1000 AS committed_at, CASE WHEN tombstone THEN 'TOMBSTONE' ELSE 'VALUE' END AS state, value FROM last WHERE version >= 100 ORDER BY version LIMIT 5 OFFSET 1""",
+    "sql_diff_versions": _one_diff(_point(f"version <= {VERSION}"), _point(f"version <= {LATER}")),
+    "sql_diff_timestamps": _one_diff(_timed(EARLY), _timed(THEN)),
+    "sql_diff_mixed": _one_diff(_point(f"version <= {VERSION}"), _timed(EARLY)),
     "txn_conflicts": f"WITH {_LOG}, {_WRITES} SELECT w.key, max(l.version) AS latest_version FROM writes w JOIN log l ON l.key = w.key WHERE l.version > {VERSION} GROUP BY w.key",
     "txn_visible": f"""{CHAIN}, {_WRITES}, base AS (SELECT key, value FROM (SELECT unnest(arg_max(c, version)) FROM chain c WHERE version <= {VERSION} GROUP BY key) WHERE {_LIVE})
         SELECT key, value FROM base WHERE key NOT IN (SELECT key FROM writes) UNION ALL SELECT key, value FROM writes WHERE op = 'PUT'

@@ -16,12 +16,15 @@ from ..operators import reductions, retention, writes
 from ..operators.diff import diff
 from ..operators.replay import replay
 from ..schema import LOG, RULES
-from ..sources.commits import as_commits, as_log, compact, recover
+from ..sources.commits import Snapshots, as_commits, as_log, compact, maintain, recover, recover_boundaries
 from ..sources.shared import new_path, stored
 from ..sources.tables import documents_log, events_log, orders_log, table
+from .views import register
 
 NOW = "2024-01-31 00:00:00"
 THEN = "2024-01-15 12:00:00"
+EARLY = "2024-01-10 00:00:00"
+ASKED = "user:7"
 ORDERS_THEN = "1996-01-01 00:00:00"
 VERSION, LATER = 4000, 8000
 #: prefix, most versions, most seconds of age.
@@ -60,6 +63,10 @@ def shown_chain(chain: DataFrame) -> DataFrame:
     return chain.select("key", "version", text(), "tombstone", micros("committed_at", "committed_us"), micros("expires_at", "expires_us"), "tombstone_reason")
 
 
+def shown_bounds(bounds: DataFrame) -> DataFrame:
+    return bounds.select("key", "first_version", micros("first_committed_at", "first_committed_us"), "truncated")
+
+
 def shown_log(log: DataFrame) -> DataFrame:
     return log.select("key", "version", micros("committed_at", "committed_us"), "op", text(), micros("deadline", "deadline_us"), "restored_from_version")
 
@@ -84,6 +91,11 @@ def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.latest_version(events_chain(spark, sf_dir))
 
 
+@query
+def latest_version_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.latest_version(events_chain(spark, sf_dir), asked_keys(spark, sf_dir))
+
+
 @query
 def is_current_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = events_chain(spark, sf_dir)
@@ -150,6 +162,12 @@ def history_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.history(events_chain(spark, sf_dir), 5, 10).select("key", "version", "committed_ms", "state", text())
 
 
+@query
+def history_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each source's page of whole texts, against the bound of a page."""
+    return C.history_bytes(C.history(replay(documents_log(spark, sf_dir)), 0, 1000))
+
+
 @query
 def history_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of deep chains (five keys hold all events) the oldest of the newest 1,000 versions from 2,000 on."""
@@ -164,7 +182,7 @@ def diff_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def diff_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff(events_chain(spark, sf_dir), "2024-01-10 00:00:00", LATER).select("key", "before_state", "after_state", "common_prefix", text("before_suffix"), text("after_suffix"))
+    return diff(events_chain(spark, sf_dir), EARLY, LATER).select("key", "before_state", "after_state", "common_prefix", text("before_suffix"), text("after_suffix"))
 
 
 @query
@@ -210,18 +228,40 @@ def gc_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chain = events_chain(spark, sf_dir)
-    out = retention.boundaries(chain, retention.removed(chain, rules(spark), NOW))
-    return out.select("key", "first_version", micros("first_committed_at", "first_committed_us"), "truncated")
+    return shown_bounds(retention.boundaries_after(events_chain(spark, sf_dir), rules(spark), NOW))
+
+
+def retained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The events' chain after a collection, and its boundaries."""
+    chain = stored(events_chain(spark, sf_dir), "chain")
+    return retention.retain(chain, rules(spark), NOW), stored(retention.boundaries_after(chain, rules(spark), NOW), "boundaries")
 
 
 @query
 def lookup_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every asked key at three versions, after retention."""
-    chain = stored(events_chain(spark, sf_dir), "chain")
-    low = retention.boundaries(chain, retention.removed(chain, rules(spark), NOW))
     points = asked_keys(spark, sf_dir).select("key", F.explode(F.array(*[F.lit(v).cast("bigint") for v in (50, VERSION, 1_000_000_000)])).alias("at_version"))
-    return C.lookup_status(retention.retain(chain, rules(spark), NOW), low, points)
+    return C.lookup_status(*retained(spark, sf_dir), points)
+
+
+@query
+def lookup_status_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every asked key at three times, after retention."""
+    points = asked_keys(spark, sf_dir).select("key", F.explode(F.array(*[F.lit(t).cast("timestamp") for t in (EARLY, THEN, NOW)])).alias("at_timestamp"))
+    return C.lookup_status(*retained(spark, sf_dir), points).select("key", micros("at_timestamp", "at_us"), "status")
+
+
+@query
+def getat_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point read that tells what retention removed from what never was."""
+    chain, bounds = retained(spark, sf_dir)
+    return C.as_of(chain, version=VERSION, boundaries=bounds).select("key", "version", text(), "state")
+
+
+@query
+def diff_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chain, bounds = retained(spark, sf_dir)
+    return diff(chain, VERSION, LATER, bounds).select("key", "before_state", "after_state", "common_prefix", text("before_suffix"), text("after_suffix"))
 
 
 @query
@@ -237,9 +277,25 @@ def txn_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def txn_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heads of the written keys after the commit of the write set."""
-    rows = writes.commit(write_set(spark), 1_000_000_000, NOW)
-    chain = replay(events_log(spark, sf_dir).unionByName(rows))
-    return shown_chain(C.heads(chain).where("version = 1000000000"))
+    log = events_log(spark, sf_dir)
+    rows = writes.commit(replay(log), write_set(spark), 999_999_999, 1_000_000_000, NOW)
+    return shown_chain(C.heads(replay(log.unionByName(rows))).where("version = 1000000000"))
+
+
+@query
+def txn_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys for which a commit of the write set is refused, as the commit itself names them; none if it isn't."""
+    keys: list[str] = []
+    try:
+        writes.commit(events_chain(spark, sf_dir), write_set(spark), VERSION, 1_000_000_000, NOW)
+    except writes.TransactionConflict as e:
+        keys = e.keys
+    return spark.createDataFrame([(k,) for k in keys], "key string")
+
+
+@query
+def txn_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writes.transaction_ttl(events_chain(spark, sf_dir), write_set(spark), LATER, "2024-01-30 06:00:00", asked_keys(spark, sf_dir))
 
 
 @query
@@ -282,6 +338,24 @@ def recover_snapshot_plus_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown_chain(recover(snapshot, log, VERSION))
 
 
+@query
+def recovered_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundaries after a collection, a snapshot of what it left, and a recovery from that and the rest of the log."""
+    log, shots = events_log(spark, sf_dir), Snapshots(spark)
+    old = stored(replay(log.where(F.col("version") <= VERSION)), "chain")
+    shots.save(retention.retain(old, rules(spark), NOW), VERSION, retention.boundaries_after(old, rules(spark), NOW))
+    cut, snapshot, bounds = shots.load()
+    return shown_bounds(recover_boundaries(bounds, recover(snapshot, log, cut)))
+
+
+@query
+def maintained_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the snapshot of a maintenance run holds: the chain after retention, as of LATER."""
+    log, shots = events_log(spark, sf_dir), Snapshots(spark)
+    maintain(replay(log), as_commits(log), shots, rules(spark), NOW, LATER)
+    return shown_chain(shots.load().chain)
+
+
 @query
 def acl_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reductions.acl_rows(C.current(events_chain(spark, sf_dir), NOW), ("user:1", "user:77")).select("key", text())
@@ -297,11 +371,55 @@ def tsv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events log in three appended parts, each replayed by a run of the same stream."""
-    from ..streaming.replay import as_chain, run
+    from ..streaming.replay import read_chain, run
 
     log = events_log(spark, sf_dir)
     source, out, checkpoint = (new_path(spark, f"stream-{x}") for x in ("log", "chain", "checkpoint"))
     for low, high in ((0, VERSION), (VERSION, LATER), (LATER, 1 << 62)):
         log.where((F.col("version") > low) & (F.col("version") <= high)).write.mode("append").parquet(source)
         run(spark, source, out, checkpoint).awaitTermination()
-    return shown_chain(as_chain(spark.read.parquet(out)))
+    return shown_chain(read_chain(spark, out))
+
+
+def in_sql(spark: SparkSession, sf_dir: str, statement: str) -> DataFrame:
+    register(events_chain(spark, sf_dir), NOW)
+    return spark.sql(statement)
+
+
+@query
+def sql_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_sql(spark, sf_dir, "SELECT key, CAST(value AS STRING) AS value, version FROM current")
+
+
+@query
+def sql_as_of_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_sql(spark, sf_dir, f"SELECT key, version, CAST(value AS STRING) AS value, state FROM as_of_version({VERSION})")
+
+
+@query
+def sql_as_of_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_sql(spark, sf_dir, f"SELECT key, version, CAST(value AS STRING) AS value, state FROM as_of_timestamp(TIMESTAMP '{THEN}')")
+
+
+@query
+def sql_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_sql(spark, sf_dir, f"SELECT version, committed_at, state, CAST(value AS STRING) AS value FROM history('{ASKED}') WHERE version >= 100 ORDER BY version LIMIT 5 OFFSET 1")
+
+
+@query
+def sql_diff_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_sql(spark, sf_dir, _sql_diff(f"diff_versions('{ASKED}', {VERSION}, {LATER})"))
+
+
+@query
+def sql_diff_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_sql(spark, sf_dir, _sql_diff(f"diff_timestamps('{ASKED}', TIMESTAMP '{EARLY}', TIMESTAMP '{THEN}')"))
+
+
+@query
+def sql_diff_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_sql(spark, sf_dir, _sql_diff(f"diff_mixed('{ASKED}', {VERSION}, NULL, NULL, TIMESTAMP '{EARLY}')"))
+
+
+def _sql_diff(call: str) -> str:
+    return f"SELECT before_state, CAST(before_value AS STRING) AS before_value, after_state, CAST(after_value AS STRING) AS after_value FROM {call}"

@@ -44,7 +44,14 @@ def log_faults(log: DataFrame) -> DataFrame:
 
 
 def chain_faults(chain: DataFrame) -> DataFrame:
-    """Rows of ``chain`` that break an invariant: exactly one of value and tombstone, no deadline or missing reason on a tombstone."""
-    dead = F.col("tombstone")
+    """Rows of ``chain`` that break an invariant.
+
+    A row has a key, a version of 1 or more and a commit time; exactly one of
+    value and tombstone; on a tombstone a reason and no deadline; a source only
+    below its own version. Of a version that a key has twice, one row is given.
+    """
+    dead, source = F.col("tombstone"), F.col("restored_from_version")
     bad = (dead == F.col("value").isNotNull()) | (dead & F.col("expires_at").isNotNull()) | (dead != F.col("tombstone_reason").isNotNull())
-    return chain.where(bad | dead.isNull())
+    bad = bad | dead.isNull() | F.col("key").isNull() | F.col("version").isNull() | (F.col("version") < 1) | F.col("committed_at").isNull() | F.coalesce(source >= F.col("version"), F.lit(False))
+    twice = chain.groupBy("key", "version").agg(F.count("*").alias("_n"), F.min_by(F.struct(*chain.columns), F.xxhash64(*chain.columns)).alias("_row")).where("_n > 1")
+    return chain.where(bad).unionByName(twice.select("_row.*")).distinct()

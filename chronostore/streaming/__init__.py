@@ -1,11 +1 @@
-"""Continuous replay with Structured Streaming.
-
-Its functions travel to the executors by value, so that a worker needs no copy
-of the package on its path.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Continuous replay with Structured Streaming."""
