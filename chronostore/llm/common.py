@@ -1,41 +1,13 @@
-"""Shared helpers: the cluster's shared folder, stored tables, text columns."""
+"""Shared helpers: text columns, and the stored tables of the core."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path, stored
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as
-    in local tests, a temporary folder is made and set for the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
-
-    This cuts the lineage: a lost executor costs a re-read, not a recomputation.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.parquet(path)
+__all__ = ["documents", "id_bucket", "new_path", "stored", "text_of"]
 
 
 def text_of(column: str = "text") -> Column:

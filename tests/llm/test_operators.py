@@ -191,6 +191,54 @@ def test_contexts_find_unseen_identifiers(spark):
     assert spans[100] == ("context:11:27", 0) and spans[102] == ("", 0)
 
 
+def test_contexts_are_precise_and_complete_on_planted_identifiers(spark):
+    """Numbers that fail their kind's own test, planted in contexts where valid ones are, and as many decoys elsewhere."""
+    rnd = random.Random(12)
+
+    def card(valid):
+        d = [rnd.randint(0, 9) for _ in range(15)]
+        good = next(c for c in range(10) if brute._luhn("".join(map(str, [*d, c]))))
+        return "".join(map(str, [*d, good if valid else (good + rnd.randint(1, 9)) % 10]))
+
+    frames = [lambda x: f"{sentence(rnd, 6)} kontakt {x} {sentence(rnd, 5)}", lambda x: f"{sentence(rnd, 4)}, {x} gezahlt {sentence(rnd, 5)}", lambda x: f"{sentence(rnd, 3)} bank konto {x}"]
+    rows, planted, decoys = [], set(), set()
+    for i in range(900):
+        kind = i % 12
+        if kind == 0:
+            planted.add(i)
+        if kind == 1:
+            decoys.add(i)
+        text = f"{sentence(rnd, 6)} {card(False)} {sentence(rnd, 6)}" if kind == 1 else frames[i % 3 if kind else rnd.randrange(3)](card(kind != 0))
+        rows.append((i, text))
+    spans = by_id(pii.report(*pii.find(spark.createDataFrame(rows, "doc_id bigint, text string"))), "spans")
+    hit = {i for i, (x,) in spans.items() if "context" in x}
+    recall, precision = len(hit & planted) / len(planted), len(hit & planted) / max(1, len(hit))
+    assert recall >= 0.95 and precision >= 0.95 and not hit & decoys, (recall, precision)
+
+
+ADVERSE = ["a@b.c%d@e.f", "a@b.com.x@y.z", "a@b.c..d@e.f", "1.2.3.4.5.6.7.8.9", "x1.2.3.4", "1.2.3..4.5.6.7", "@@a@b@c.d", "a@b@c@d.e.f@g.h", "12345.1.2.3 9999.1.1.1", "a.b@-.-", "_@_a@a.a_b@c.d", "1.1.1.1@2.2.2.2.2", "++1@x.y+49 170 1234567", "a@b.", "a@b..c", "0000000255.1.1.1", "1.2.3.4a@b.c"]
+
+
+def test_personal_data_in_adverse_runs(spark):
+    rnd = random.Random(7)
+    texts = ADVERSE + ["".join(rnd.choices("aZ0%_+-..@@  ", k=rnd.randint(1, 40))) for _ in range(1500)] + ["".join(rnd.choices("0129..  -+@a", k=rnd.randint(1, 50))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = by_id(pii.report(*pii.find(df)), "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+    assert got == {i: brute.pii(t) for i, t in enumerate(texts)}
+
+
+def test_personal_data_takes_linear_time(spark):
+    """Words of a megabyte, of every class that a pattern begins with, are searched in seconds."""
+    import time
+
+    n = 1 << 20
+    texts = ["a" * n, "1" * n, "a." * (n // 2), "1." * (n // 2), "+" * n, "a@" * (n // 2), "1-" * (n // 2), ("x" * 99 + "@") * (n // 100), "a@b." + "a" * n]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    began = time.time()
+    got = by_id(pii.report(*pii.find(df)), "n_email", "n_ip", "n_card", "n_phone")
+    assert time.time() - began < 60 and got[0] == (0, 0, 0, 0) and got[3][1] == n // 8 and got[8][0] == 1
+
+
 def line_brute(rows, long_words=50):
     """Lines of long_words or more words that an earlier document has."""
     first, gone = {}, {}
