@@ -1,10 +1,13 @@
 """SimHash near-duplicates, linked by a self-join of the fingerprints' binary trie.
 
 Fingerprints are made in Arrow batches and reduced to distinct ones, so copies
-cost nothing further. The trie's top levels are dealt out as pairs of nodes
-whose prefixes differ in at most ``budget`` bits; a task walks both subtries of
-its pair together, level by level, adds the differing bits and drops a pair of
-nodes once they exceed the budget. A task returns, in place of all links of a
+cost nothing further. Two fingerprints that differ in at most ``budget`` bits
+agree in one of budget + 1 parts, so each is dealt out once for each part,
+rotated so that the part leads: the same number of copies at any size. All that
+share a part are a node of the trie near its top, and a task walks pairs of
+nodes below it together, level by level, adds the differing bits and drops a
+pair once they exceed the budget. A node that is too full is dealt out deeper,
+as pairs of its own descendants. A task returns, in place of all links of a
 crowded neighbourhood, a spanning forest of them: at most one row for each
 fingerprint it was given, with the same components.
 """
@@ -16,15 +19,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, stored, text_of
 from .graph import components
 
 BITS = 64
-#: Distinct fingerprints under one top node, about.
-NODE_SIZE = 500_000
+#: Fingerprints under one node that a task takes as it is; a fuller node is dealt out deeper.
+NODE_SIZE = 200_000
+#: Levels that a node is dealt out deeper at most.
+DEEPER = 16
+#: Rows that a task walks, about.
+SHARD_ROWS = 100_000
+#: Nodes dealt out deeper that are broadcast at most.
+BROADCAST_NODES = 100_000
+#: Pairs of fingerprints under a pair of nodes that are compared outright.
+LEAF = 64
 #: Node pairs expanded at a time.
 FRONTIER = 1 << 19
 
@@ -42,8 +53,13 @@ def _fingerprint(text: str, width: int, seed: int) -> int:
         ends = np.cumsum([len(w) + 1 for w in words]) - 1
         starts = np.concatenate([[0], ends[:-1] + 1])
         hashes = [xxh64_intdigest(whole[a:b], seed) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())]
+    return majority(np.asarray(hashes, dtype=np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of ``hashes`` (uint64)."""
     n, ones = len(hashes), np.zeros(BITS, dtype=np.int64)
-    h = np.asarray(hashes, dtype=">u8").view(np.uint8).reshape(n, 8)
+    h = hashes.astype(">u8").view(np.uint8).reshape(n, 8)
     for i in range(0, n, 1 << 16):
         ones += np.unpackbits(h[i : i + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
@@ -84,19 +100,18 @@ class Forest:
         return self._roots(np.arange(len(self.up)))
 
 
-def trie_join(left: np.ndarray, right: np.ndarray, depth: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of sorted, distinct ``left`` and ``right`` (uint64) at ``budget`` or fewer differing bits.
+Nodes = tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
 
-    All of ``left`` share their first ``depth`` bits, and all of ``right``.
-    A node is a range of the sorted array. Node pairs wait on a stack, in blocks.
+def trie_join(values: np.ndarray, starts: list[Nodes], budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of ``values`` (uint64) at ``budget`` or fewer differing bits, below the pairs of nodes in ``starts``.
+
+    A node is a range of ``values`` that is sorted and distinct within. ``starts``
+    has (depth, first, end, other first, other end, bits that differ so far),
+    arrays of pairs whose prefixes of that depth are done with; a node is paired
+    with itself or with one behind it. Node pairs wait on a stack, in blocks.
     """
-    if not len(left) or not len(right):
-        return
-    head = np.uint64(BITS - depth)
-    err = bin(int((left[0] >> head) ^ (right[0] >> head))).count("1") if depth else 0
-    one = lambda x: np.asarray([x], dtype=np.int64)
-    same = left is right
-    stack = [(depth, one(0), one(len(left)), one(0), one(len(right)), one(err))]
+    stack = list(starts)
     while stack:
         d, a0, a1, b0, b1, e = stack.pop()
         if len(e) > FRONTIER:
@@ -104,16 +119,14 @@ def trie_join(left: np.ndarray, right: np.ndarray, depth: int, budget: int) -> I
             stack += [(d, *(x[part] for x in (a0, a1, b0, b1, e))) for part in (slice(half, None), slice(None, half))]
             continue
         # Small enough node pairs end here: their members are compared outright.
-        leaf = ((a1 - a0) * (b1 - b0) <= 4) | (d == BITS)
+        leaf = ((a1 - a0) * (b1 - b0) <= LEAF) | (d == BITS)
         if leaf.any():
             la, lb, na, nb = a0[leaf], b0[leaf], (a1 - a0)[leaf], (b1 - b0)[leaf]
             count = na * nb
             k = np.repeat(np.arange(len(count)), count)
             j = np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count)
             i, j = la[k] + j // nb[k], lb[k] + j % nb[k]
-            near = np.bitwise_count(left[i] ^ right[j]) <= budget
-            if same:
-                near &= i < j
+            near = (i < j) & (np.bitwise_count(values[i] ^ values[j]) <= budget)
             if near.any():
                 yield i[near], j[near]
         rest = ~leaf
@@ -121,12 +134,11 @@ def trie_join(left: np.ndarray, right: np.ndarray, depth: int, budget: int) -> I
             continue
         a0, a1, b0, b1, e = (x[rest] for x in (a0, a1, b0, b1, e))
         bit = np.uint64(BITS - 1 - d)
-        am, bm = _split(left, a0, a1, bit), _split(right, b0, b1, bit)
+        am, bm = _split(values, a0, a1, bit), _split(values, b0, b1, bit)
         sides = []
         for x0, x1, y0, y1, more in ((a0, am, b0, bm, 0), (am, a1, bm, b1, 0), (a0, am, bm, b1, 1), (am, a1, b0, bm, 1)):
-            keep = (x1 > x0) & (y1 > y0) & (e + more <= budget)
-            if same:  # of a pair of nodes and its mirror image one is walked
-                keep &= x0 <= y0
+            # Of a pair of nodes and its mirror image one is walked.
+            keep = (x1 > x0) & (y1 > y0) & (e + more <= budget) & (x0 <= y0)
             sides.append((x0[keep], x1[keep], y0[keep], y1[keep], e[keep] + more))
         nxt = [np.concatenate(x) for x in zip(*sides)]
         if len(nxt[0]):
@@ -146,29 +158,67 @@ def _split(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.uint64) -
         lo = np.where(open_ & ~is_set, mid + 1, lo)
 
 
-def _linked(key: tuple, rows: pd.DataFrame, depth: int, budget: int) -> pd.DataFrame:
-    head = np.uint64(BITS - depth)
-    fps = np.unique(rows["fp"].to_numpy().view(np.uint64))
-    first = (fps >> head) == (fps[0] >> head)
-    cut = int(first.sum())
+def parts_of(budget: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of the budget + 1 parts of a fingerprint."""
+    edges = [BITS * k // (budget + 1) for k in range(budget + 2)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+
+
+def _linked(rows: pd.DataFrame, budget: int) -> pd.DataFrame:
+    """Links of a task's rows (x, turn, deeper, low, high); a unit is what shares all but x, and the first part of x."""
+    parts = parts_of(budget)
+    turn, x = rows["turn"].to_numpy().astype(np.int64), rows["x"].to_numpy().view(np.uint64)
+    first = np.asarray([p[0] for p in parts], dtype=np.uint64)[turn]
+    width = np.asarray([p[1] for p in parts], dtype=np.uint64)[turn]
+    head, low, high, deeper = x >> (np.uint64(BITS) - width), rows["low"].to_numpy(), rows["high"].to_numpy(), rows["deeper"].to_numpy().astype(np.int64)
+    order = np.lexsort((x, high, low, head, turn))
+    turn, x, first, width, head, low, high, deeper = (v[order] for v in (turn, x, first, width, head, low, high, deeper))
+    new = np.flatnonzero(np.concatenate([[True], (turn[1:] != turn[:-1]) | (head[1:] != head[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+    end = np.append(new[1:], len(x))
+    # Within a unit of two nodes those of the lower prefix come first.
+    depth = width[new].astype(np.int64) + deeper[new]
+    own = (x << width) >> (np.uint64(BITS) - np.maximum(deeper, 1).astype(np.uint64))
+    in_low = np.concatenate([[0], np.cumsum((deeper == 0) | (own == low.astype(np.uint64)))])
+    cut = new + in_low[end] - in_low[new]
+    one = low[new] == high[new]
+    a0, a1, b0, b1 = new, np.where(one, end, cut), np.where(one, new, cut), end
+    err = np.bitwise_count((low[new] ^ high[new]).astype(np.uint64)).astype(np.int64)
+    keep = (a1 > a0) & (b1 > b0)
+    starts = [(int(d), *(v[keep & (depth == d)] for v in (a0, a1, b0, b1, err))) for d in np.unique(depth[keep])]
+    back = np.where(first > 0, (x >> first) | (x << ((np.uint64(BITS) - first) & np.uint64(BITS - 1))), x)
+    fps, which = np.unique(back, return_inverse=True)
     forest = Forest(len(fps))
-    pairs = trie_join(fps, fps, depth, budget) if cut == len(fps) else trie_join(fps[:cut], fps[cut:], depth, budget)
-    for i, j in pairs:
-        forest.join(i, j if cut == len(fps) else j + cut)
+    for i, j in trie_join(x, starts, budget):
+        forest.join(which[i], which[j])
     roots = forest.roots()
     linked = roots != np.arange(len(fps))
     return pd.DataFrame({"a": fps[linked].view(np.int64), "b": fps[roots[linked]].view(np.int64)})
 
 
-def trie_links(distinct: DataFrame, budget: int = 3) -> DataFrame:
+def trie_links(distinct: DataFrame, budget: int = 3, node_size: int = NODE_SIZE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(a, b): links whose components are those of all pairs of ``distinct`` (fp) within ``budget`` bits."""
-    depth = max(4, int(np.ceil(np.log2(max(1, distinct.count()) / NODE_SIZE))))
-    nodes = 1 << depth
-    near = [x for x in range(nodes) if bin(x).count("1") <= budget]  # a few prefixes, whatever the input
-    prefix: Column = F.shiftrightunsigned(F.col("fp"), BITS - depth).cast("int")
-    pairs = distinct.select("fp", prefix.alias("p")).select("fp", "p", F.explode(F.array(*[F.col("p").bitwiseXOR(F.lit(x)) for x in near])).alias("q"))
-    keyed = pairs.select("fp", (F.least("p", "q") * F.lit(nodes) + F.greatest("p", "q")).cast("long").alias("pair"))
-    return keyed.groupBy("pair").applyInPandas(lambda key, rows: _linked(key, rows, depth, budget), "a long, b long")
+    fp = F.col("fp")
+    turned = []
+    for k, (first, width) in enumerate(parts_of(budget)):
+        x = F.shiftleft(fp, first).bitwiseOR(F.shiftrightunsigned(fp, BITS - first)) if first else fp
+        turned.append(F.struct(F.lit(k).alias("turn"), x.alias("x"), F.lit(width).alias("width"), F.shiftrightunsigned(x, BITS - width).alias("head")))
+    rows = distinct.select(F.inline(F.array(*turned)))
+    full = rows.groupBy("turn", "head").agg(F.count("*").alias("n")).where(F.col("n") > node_size)
+    if full.isEmpty():
+        rows = rows.withColumn("deeper", F.lit(0))
+    else:
+        levels = F.least(F.lit(DEEPER), F.ceil(F.log2(F.col("n") / node_size))).cast("int")
+        full = stored(full.select(F.col("turn").alias("_turn"), F.col("head").alias("_head"), levels.alias("deeper")), "nodes-full")
+        few = full.count() <= BROADCAST_NODES
+        rows = rows.join(F.broadcast(full) if few else full, (F.col("turn") == F.col("_turn")) & (F.col("head") == F.col("_head")), "left").withColumn("deeper", F.coalesce("deeper", F.lit(0)))
+    # Of a full node, pairs of descendants whose prefixes are near enough; of another one, the node with itself.
+    own = F.expr(f"CASE WHEN deeper = 0 THEN 0L ELSE shiftrightunsigned(shiftleft(x, width), {BITS} - deeper) END")
+    flips = F.expr(f"filter(sequence(0L, shiftleft(1L, deeper) - 1L), m -> bit_count(m) <= {budget})")
+    rows = rows.select("turn", "x", "head", "deeper", own.alias("p"), F.explode(flips).alias("flip"))
+    units = rows.select("turn", "x", "head", "deeper", F.least(F.col("p"), F.col("p").bitwiseXOR(F.col("flip"))).alias("low"), F.greatest(F.col("p"), F.col("p").bitwiseXOR(F.col("flip"))).alias("high"))
+    shards = max(1, -(-distinct.count() * (budget + 1) // shard_rows))
+    keyed = units.withColumn("shard", F.pmod(F.xxhash64("turn", "head", "low", "high"), F.lit(shards))).drop("head")
+    return keyed.groupBy("shard").applyInPandas(lambda rows: _linked(rows, budget), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 3, seed: int = 42) -> DataFrame:
@@ -178,7 +228,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 3, seed: int
     words than a shingle is one shingle; a blank or null text has fingerprint
     zero and links like any other. component_id is the smallest doc_id that
     links reach; a group of null doc_ids alone has a null one. Repeated rows
-    stay. An empty table gives no rows.
+    stay. An empty table gives no rows. Only doc_id and text are read, whatever
+    other columns are called; a very long text is hashed in blocks.
     """
     prints = stored(fingerprints(docs, width, seed), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints-distinct")

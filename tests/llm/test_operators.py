@@ -435,10 +435,37 @@ def test_trie_join_finds_all_pairs(budget):
     flips = np.bitwise_or.reduce(np.uint64(1) << rnd.integers(0, 64, (400, 4), dtype=np.uint64), axis=1)
     fps = np.unique(np.concatenate([base, base[rnd.integers(0, 40, 400)] ^ flips, np.asarray([0, 1, (1 << 64) - 1], dtype=np.uint64)]))
     want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if int(np.bitwise_count(fps[i] ^ fps[j])) <= budget}
-    got = [(int(i), int(j)) for a, b in simhash.trie_join(fps, fps, 0, budget) for i, j in zip(a, b)]
+    one = lambda x: np.asarray([x], dtype=np.int64)
+    root = [(0, one(0), one(len(fps)), one(0), one(len(fps)), one(0))]
+    got = [(int(i), int(j)) for a, b in simhash.trie_join(fps, root, budget) for i, j in zip(a, b)]
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("budget, node_size, shard_rows", [(3, 10**6, 10**6), (3, 10**6, 50), (3, 4, 50), (3, 40, 10**6), (1, 10, 100), (6, 30, 200)])
+def test_trie_links_have_the_components_of_all_pairs(spark, budget, node_size, shard_rows):
+    """Whole nodes and nodes dealt out deeper by any number of levels, in one task or many."""
+    from chronostore.llm.graph import components
+
+    rnd = np.random.default_rng(5)
+    base = rnd.integers(0, 1 << 63, 12, dtype=np.uint64)
+    flips = np.bitwise_or.reduce(np.uint64(1) << rnd.integers(0, 64, (300, 3), dtype=np.uint64), axis=1)
+    crowd = np.uint64(0xABCD << 48) | rnd.integers(0, 1 << 9, 150, dtype=np.uint64) << np.uint64(34)
+    fps = np.unique(np.concatenate([base, base[rnd.integers(0, 12, 300)] ^ flips, crowd, np.asarray([0, 1, (1 << 64) - 1], dtype=np.uint64)]))
+    forest = simhash.Forest(len(fps))
+    for i in range(len(fps)):
+        j = np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= budget) + i + 1
+        forest.join(np.full(len(j), i), j)
+    want = {}
+    for v, r in zip(fps.view(np.int64).tolist(), forest.roots().tolist()):
+        want.setdefault(r, set()).add(v)
+    df = spark.createDataFrame([(v,) for v in fps.view(np.int64).tolist()], "fp long")
+    labels = components(simhash.trie_links(df, budget, node_size, shard_rows))
+    got = {}
+    for r in labels.collect():
+        got.setdefault(r.label, set()).add(r.node)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+
+
 def test_packing(spark, sf_dir, docs):
     import public_tokenizers as P
 
