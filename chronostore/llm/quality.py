@@ -17,7 +17,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, id_bucket, stored, text_of
@@ -26,6 +26,8 @@ from .common import documents, id_bucket, stored, text_of
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Fixed odd multiplier that mixes two token hashes.
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: The mark of a token that repeats the one before it.
+REPEATED = np.uint64(1)
 CACHE_TOKENS = 500_000
 
 
@@ -45,18 +47,22 @@ class Settings:
 class Hasher:
     """Sparse features of a text: hashed unigrams and bigrams with L2-normalised counts.
 
-    A token that repeats the one before it becomes a mark, and a word all in
-    capitals carries one, so that such n-grams share weights across words.
+    Beside the n-grams of its tokens, a text has those of its marks: one for a
+    word all in capitals, one for a number, and one for a token that repeats
+    the one before it. An n-gram with a mark stands beside that of the tokens
+    themselves, so that such tokens share weights and keep their own.
     """
 
     def __init__(self, bits: int):
         self.shift, self.known = np.uint64(64 - bits), {}
 
-    def _hash(self, token: str) -> int:
+    def _hash(self, token: str) -> tuple[int, int]:
+        """The token's hash and its mark's; the same one twice without a mark."""
         from xxhash import xxh64_intdigest
 
         kind = "^" if len(token) > 1 and token.isupper() else "#" if token.isdigit() else ""
-        return xxh64_intdigest((kind or token).encode("utf-8", "replace"))
+        own = xxh64_intdigest(token.encode("utf-8", "replace"))
+        return own, xxh64_intdigest(f"\0{kind}".encode()) if kind else own
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         tokens = _TOKEN.findall(text)
@@ -65,11 +71,12 @@ class Hasher:
         known = self.known
         for t in set(tokens).difference(known):
             known[t] = self._hash(t)
-        h = np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
-        if len(h) > 1:
-            again = np.concatenate([[False], h[1:] == h[:-1]])
-            h = np.where(again, np.uint64(1), h)
-        grams = np.concatenate([h * _MIX, (h[:-1] * np.uint64(3) + (h[1:] ^ (h[1:] >> np.uint64(29)))) * _MIX])
+        both = np.asarray([known[t] for t in tokens], dtype=np.uint64).reshape(-1, 2)
+        h, m = both[:, 0], both[:, 1].copy()
+        m[1:][h[1:] == h[:-1]] = REPEATED
+        marked = m != h
+        pairs = lambda x: x[:-1] * np.uint64(3) + (x[1:] ^ (x[1:] >> np.uint64(29)))
+        grams = np.concatenate([h, pairs(h), m[marked], pairs(m)[marked[1:] | marked[:-1]]]) * _MIX
         index, count = np.unique((grams >> self.shift).astype(np.int64), return_counts=True)
         value = np.sqrt(count)
         return index, value / max(1e-9, float(np.sqrt((value * value).sum())))
@@ -109,20 +116,33 @@ def _shard(batches: Iterator[pd.DataFrame], s: Settings) -> Iterator[pd.DataFram
         yield pd.DataFrame({"feature": at, "weight": w[at]})
 
 
+def _within(rows: DataFrame, most: int, *key: Column) -> DataFrame:
+    """``rows`` with the smallest ``most`` or fewer values of ``key``: those below the value at place ``most``.
+
+    Only keys are ordered, and only ``most`` + 1 of them meet in one task.
+    """
+    edge = rows.select(F.struct(*key).alias("k")).orderBy("k").offset(most).limit(1).collect()
+    if not edge:
+        return rows
+    names = [f"k{i}" for i in range(len(key))]
+    below = F.struct(*[k.alias(n) for k, n in zip(key, names)]) < F.struct(*[F.lit(v).alias(n) for v, n in zip(edge[0]["k"], names)])
+    return rows.where(below)
+
+
 def train(labelled: DataFrame, s: Settings = Settings()) -> np.ndarray:
     """Weights from ``labelled`` (doc_id, text, label 0 or 1). Rows without a label teach nothing.
 
-    Rows beyond ``max_train_rows`` are left out by a hash of the id: every row
-    has the same chance. The result is deterministic. No rows give zero weights.
+    At most ``max_train_rows`` rows teach, those with the smallest hashes of
+    their id and text, so every document has the same chance. The result is
+    deterministic. No rows give zero weights. A very long text is one row like
+    any other, of at most as many features as the model has.
     """
+    place, content = F.xxhash64("doc_id", F.lit(7)), F.xxhash64("text")
     rows = labelled.where("label IN (0, 1)").select("doc_id", text_of().alias("text"), "label")
-    n = rows.count()
-    place = F.xxhash64("doc_id", F.lit(7))
-    if n > s.max_train_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int((1 << 30) * (s.max_train_rows / n)))
-    shards = max(1, min(n, s.max_train_rows) // s.shard_rows)
-    rows = rows.withColumn("shard", F.pmod(place, F.lit(shards)).cast("int")).withColumn("place", place)
-    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "place", F.xxhash64("text"))
+    rows = _within(rows, s.max_train_rows, place, content).withColumn("place", place)
+    shards = max(1, rows.count() // s.shard_rows)
+    # A task for each shard, whatever the hashes of their numbers.
+    dealt = rows.withColumn("shard", F.pmod("place", F.lit(shards)).cast("int")).repartitionById(shards, "shard").sortWithinPartitions("place", content)
     sums = dealt.select("shard", "text", "label").mapInPandas(partial(_shard, s=s), "feature long, weight double")
     model = np.zeros((1 << s.bits) + 1)
     for feature, weight in sums.groupBy("feature").agg(F.sum("weight").alias("weight")).toLocalIterator():  # at most 2**bits + 1 rows
@@ -144,6 +164,7 @@ def score(docs: DataFrame, model: np.ndarray, s: Settings = Settings()) -> DataF
     """doc_id, score, predicted for each row; null texts count as empty and score by the bias alone.
 
     Repeated rows and null doc_ids are scored like any other. No rows, no scores.
+    Only doc_id and text are read, whatever other columns are called.
     """
     held = docs.sparkSession.sparkContext.broadcast(model.astype(np.float64))  # 8 bytes * 2**bits
 
@@ -180,10 +201,8 @@ def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def fit(spark: SparkSession, docs: DataFrame, sf_dir: str, s: Settings = Settings()) -> np.ndarray:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     # The sample is drawn before the texts are joined, so that only its texts are shuffled.
-    known = labels.where((id_bucket(4) != 2) & F.col("quality").isNotNull())
-    n = known.count()
-    if n > s.max_train_rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int((1 << 30) * (s.max_train_rows / n)))
+    known = labels.where((id_bucket(4) != 2) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = _within(known, s.max_train_rows, F.xxhash64("doc_id", F.lit(7)))
     return train(stored(with_labels(docs, known), "labelled"), s)
 
 

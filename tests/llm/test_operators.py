@@ -506,11 +506,30 @@ def test_exact_dedup(spark, sf_dir, docs):
 
 
 def test_digest_index_takes_new_batches(spark):
-    index = exact_dedup.DigestIndex(spark, new_path(spark, "index"), buckets=4)
+    path = new_path(spark, "index")
+    index = exact_dedup.DigestIndex(spark, path, buckets=4)
     batch = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
     assert by_id(index.add(batch([(1, "a b"), (2, "ab "), (3, "c")])), "keep_id", "group_size") == {1: (1, 2), 2: (1, 2), 3: (3, 1)}
-    assert by_id(index.add(batch([(4, "a  b"), (5, "d")])), "keep_id", "kept") == {4: (1, False), 5: (5, True)}
-    assert index.table().count() == 3
+    assert by_id(index.add(batch([(4, "a  b"), (5, "d")])), "keep_id", "group_size", "kept") == {4: (1, 3, False), 5: (5, 1, True)}
+    assert index.held().count() == 3
+    index.drop()
+    index = exact_dedup.DigestIndex(spark, path, buckets=99)  # opened again: its own buckets count
+    assert index.buckets == 4 and by_id(index.add(batch([(6, "c")])), "keep_id", "group_size") == {6: (3, 2)}
+    moved = index.rebuilt(new_path(spark, "index"), 7)
+    assert moved.held().exceptAll(index.held()).isEmpty() and by_id(moved.add(batch([(7, "d"), (8, "e")])), "keep_id") == {7: (5,), 8: (8,)}
+
+
+def test_a_batch_that_is_added_again_counts_once(spark):
+    index = exact_dedup.DigestIndex(spark, new_path(spark, "index"), buckets=4)
+    batch = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, None)], "doc_id bigint, text string")
+    want = {1: (1, 2), 2: (1, 2), 3: (3, 1)}
+    for _ in range(3):
+        assert by_id(index.add(batch, "monday"), "keep_id", "group_size") == want
+    assert by_id(index.add(batch, "tuesday"), "keep_id", "group_size") == {1: (1, 4), 2: (1, 4), 3: (3, 2)}
+
+
+def test_buckets_grow_with_the_documents():
+    assert exact_dedup.buckets_for(10) == 32 and exact_dedup.buckets_for(10**10) == 5000
 
 
 def test_pipeline(spark, sf_dir, docs):
