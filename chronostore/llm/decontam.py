@@ -4,11 +4,16 @@ A mask fixes which token positions of a window are hashed and which are
 ignored, so a window still hits where an ignored token was substituted. All
 windows of both sides are hashed under each mask and joined; each hit fixes an
 alignment of an item and a document, and the tokens around it are compared.
+
+From eight tokens on the four masks hit every alignment that the share of equal
+tokens allows. Shorter items have masks of their own, which are hashed only if
+the benchmark has such items: of five to seven tokens one may be substituted
+anywhere, and an item of up to four must be equal throughout.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import indices, let
@@ -16,6 +21,13 @@ from .common import documents, stored, text_of
 
 #: Five tokens count in each mask; the others are ignored.
 MASKS = ("11111", "1101011", "11010011", "100111001")
+#: Of items of five to seven tokens, which a single substitution would take from under the masks above.
+SHORT_MASKS = ("1111", "10111", "11011", "11101")
+#: Of items of one to four tokens.
+TINY_MASKS = ("1", "11", "111", "1111")
+ALL_MASKS = (*MASKS, *SHORT_MASKS, *TINY_MASKS)
+#: Hits of a document that are compared in one row.
+HITS = 1000
 #: Tokens of the window that must overlap, and the share of them that must be equal.
 WINDOW, SHARE = 20, 0.8
 #: Seeds that are broadcast at most (32 bytes each); beyond it the join shuffles.
@@ -27,43 +39,57 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _seeds(hs: Column) -> Column:
-    """(mask, at, seed) of each window, for an array of token hashes."""
+def _masks_of(n: Column) -> list[Column]:
+    """For each mask, whether an item of ``n`` tokens is hashed under it."""
+    tiny = len(MASKS) + len(SHORT_MASKS)
+    return [(n > 4) if k < len(MASKS) else n.between(5, 7) if k < tiny else n == k - tiny + 1 for k in range(len(ALL_MASKS))]
+
+
+def _seeds(hs: Column, masks: list[int], wanted: list[Column] | None = None) -> Column:
+    """For each of ``masks`` the seeds of all windows in order, for an array of token hashes; none where not ``wanted``."""
 
-    def under(k: int, mask: str) -> Column:
-        used = [o for o, c in enumerate(mask) if c == "1"]
-        last = F.size(hs) - len(mask)
-        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    def under(k: int) -> Column:
+        used = [o for o, c in enumerate(ALL_MASKS[k]) if c == "1"]
+        last = F.size(hs) - len(ALL_MASKS[k])
+        some = (last >= 0) if wanted is None else (last >= 0) & wanted[k]
+        starts = F.when(some, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.xxhash64(F.lit(k), *[F.get(hs, i + o) for o in used]))
 
-    return F.array(*[under(k, m) for k, m in enumerate(MASKS)])
+    return F.array(*[under(k) for k in masks])
 
 
-def seeds(rows: DataFrame, *keys: str) -> DataFrame:
-    """keys, n (tokens), at, seed of ``rows`` (keys, text)."""
-    hashes = let(F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w)), lambda hs: F.struct(F.size(hs).alias("n"), _seeds(hs).alias("by_mask")))
-    masks = rows.select(*keys, hashes.alias("s")).select(*keys, "s.n", F.explode("s.by_mask").alias("of_mask"))
-    return masks.select(*keys, "n", F.posexplode("of_mask").alias("at", "seed"))
+def seeds(rows: DataFrame, masks: list[int], by_size: bool, *keys: str) -> DataFrame:
+    """keys, n (tokens), at, seed of ``rows`` (keys, text). ``by_size``: only under the masks for a text of n tokens."""
+    made = lambda hs: _seeds(hs, masks, _masks_of(F.size(hs)) if by_size else None)
+    hashes = let(F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w)), lambda hs: F.struct(F.size(hs).alias("n"), made(hs).alias("by_mask")))
+    of_mask = rows.select(*keys, hashes.alias("s")).select(*keys, "s.n", F.explode("s.by_mask").alias("of_mask"))
+    return of_mask.select(*keys, "n", F.posexplode("of_mask").alias("at", "seed"))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """(doc_id, item_id, n_tokens, n_equal, contaminated=true): the items each document leaks.
 
     A leak is an alignment in which, of some WINDOW consecutive tokens of the
     item (all of a shorter item), a SHARE or more equal the document's at the
     same places. n_tokens is the item's length, n_equal the equal tokens of its
-    best alignment. An item of fewer than five tokens has no seed and cannot
-    leak; null texts are empty; rows with a null doc_id or item_id are reported
-    under null; repeated rows give one row. Empty tables give no rows.
+    best alignment. Items without tokens cannot leak; null texts are empty; rows
+    with a null doc_id or item_id are reported under null; repeated rows give
+    one row. Empty tables give no rows. Only doc_id or item_id and text are
+    read, whatever other columns are called. The hits of a document, however
+    long it is, are compared at most HITS at a time.
     """
     items = benchmark.select("item_id", text_of().alias("text"))
-    tested = stored(seeds(items, "item_id").distinct(), "benchmark-seeds").withColumnRenamed("at", "item_at")
-    few = tested.count() <= BROADCAST_SEEDS
+    sizes = items.select(F.size(tokens(F.col("text"))).alias("n")).select(F.array(*_masks_of(F.col("n"))).alias("m"))
+    found = sizes.agg(*[F.max(F.get("m", F.lit(k)).cast("int")).alias(f"m{k}") for k in range(len(ALL_MASKS))]).first()
+    masks = [k for k in range(len(ALL_MASKS)) if found[k]] or [0]
+    tested = stored(seeds(items, masks, True, "item_id").distinct(), "benchmark-seeds").withColumnRenamed("at", "item_at")
+    few = tested.count() <= broadcast_seeds
     rows = docs.select("doc_id", text_of().alias("text"))
-    hits = seeds(rows, "doc_id").drop("n").join(F.broadcast(tested) if few else tested, "seed")
+    hits = seeds(rows, masks, False, "doc_id").drop("n").join(F.broadcast(tested) if few else tested, "seed")
     hits = hits.select(F.col("doc_id").alias("hit_id"), "item_id", "n", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     # Alignments of one document: those that share a seed with an item.
-    hits = stored(hits.groupBy("hit_id").agg(F.collect_list(F.struct("item_id", "n", "shift")).alias("hits")), "benchmark-hits")
+    turn = F.floor((F.row_number().over(Window.partitionBy("hit_id").orderBy("item_id", "shift")) - 1) / HITS)
+    hits = stored(hits.withColumn("turn", turn).groupBy("hit_id", "turn").agg(F.collect_list(F.struct("item_id", "n", "shift")).alias("hits")), "benchmark-hits")
     near = rows.join(hits.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("hit_id")))
 
     def aligned(words: Column) -> Column:
@@ -84,3 +110,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+#: All alignments of every document and item that share a token, and the same test on them.
+ORACLE_SQL = rf"""
+WITH d AS (SELECT DISTINCT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS w FROM documents),
+b AS (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS w FROM benchmark),
+dt AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM d),
+bt AS (SELECT item_id, len(w) AS n, unnest(w) AS t, generate_subscripts(w, 1) AS j FROM b),
+al AS (
+  SELECT doc_id, item_id, n, i - j AS shift, list(j) AS js, count(*) AS n_equal FROM dt JOIN bt USING (t)
+  GROUP BY ALL HAVING count(*) >= {SHARE} * least(n, {WINDOW})
+), leaks AS (
+  SELECT * FROM al WHERE len(list_filter(range(1, n - least(n, {WINDOW}) + 2), lambda s: len(list_filter(js, lambda j: j >= s AND j < s + least(n, {WINDOW}))) >= {SHARE} * least(n, {WINDOW}))) > 0
+)
+SELECT doc_id, item_id, n::INTEGER AS n_tokens, max(n_equal)::INTEGER AS n_equal, true AS contaminated FROM leaks GROUP BY doc_id, item_id, n
+"""
