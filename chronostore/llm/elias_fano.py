@@ -1,8 +1,10 @@
 """Elias-Fano sequences and a two-level n-gram trie over them, read from a memory-mapped file.
 
-A sorted sequence keeps its values' low bits packed and its high bits in unary.
-The trie's first level holds the context words, the second their successors;
-pointers say where a context's successors begin. All look-ups take arrays.
+A sorted sequence keeps its values' low bits packed and its high bits in unary,
+with the places of every SAMPLE-th zero and one beside it, from which others are
+counted on. The trie's first level holds the context words, the second their
+successors; pointers say where a context's successors begin. Nothing but the
+file is kept: all look-ups take arrays and read the words that they touch.
 """
 
 from __future__ import annotations
@@ -13,8 +15,12 @@ import tempfile
 import numpy as np
 
 #: log10 of a probability is stored in this many steps of 16 bits; code 0 means absent.
-STEP = 12 / 65_534
+STEP = 18 / 65_534
 _CHUNK = 1 << 16
+#: Zeros, or ones, of a unary part for each place in its directory.
+SAMPLE = 64
+#: Arrays in the file for each sequence.
+ARRAYS = 5
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -39,18 +45,57 @@ def ef_encode(values: np.ndarray, universe: int) -> list[np.ndarray]:
     high = (values >> np.uint64(bits)).astype(np.int64)
     unary = np.zeros(int(high[-1]) + n + 1 if n else 1, dtype=np.uint8)
     unary[high + np.arange(n)] = 1
-    unary = np.packbits(unary, bitorder="little")
-    return [np.asarray([n, bits, int(high[-1]) + n + 1 if n else 1], dtype=np.uint64), np.concatenate([*packed, np.zeros(1, dtype=np.uint64)]), np.concatenate([unary, np.zeros(-len(unary) % 8, dtype=np.uint8)]).view(np.uint64)]
+    # A zero and a one behind the end, so that every count that is asked for ends.
+    unary = np.concatenate([unary, np.asarray([0, 1], dtype=np.uint8)])
+    places = [np.flatnonzero(unary == x)[::SAMPLE].astype(np.uint64) for x in (0, 1)]
+    raw = np.packbits(unary, bitorder="little")
+    raw = np.concatenate([raw, np.zeros(-len(raw) % 8, dtype=np.uint8)]).view(np.uint64)
+    return [np.asarray([n, bits, int(high[-1]) + 1 if n else 0], dtype=np.uint64), np.concatenate([*packed, np.zeros(1, dtype=np.uint64)]), raw, *places]
+
+
+def _select(words: np.ndarray, places: np.ndarray, k: np.ndarray, ones: bool) -> np.ndarray:
+    """Place of the k-th one, or zero, of the bits in ``words``; ``places`` has every SAMPLE-th."""
+    read = lambda at: words[at] if ones else ~words[at]
+    base = places[k // SAMPLE].astype(np.int64)
+    rest, at = k % SAMPLE, base >> 6
+    bits = read(at) & (np.uint64((1 << 64) - 1) << (base & 63).astype(np.uint64))
+    while True:
+        count = np.bitwise_count(bits).astype(np.int64)
+        on = np.flatnonzero(rest >= count)
+        if not len(on):
+            break
+        rest[on] -= count[on]
+        at[on] += 1
+        bits[on] = read(at[on])
+    place = np.zeros(len(k), dtype=np.int64)
+    for step in (32, 16, 8, 4, 2, 1):
+        count = np.bitwise_count(bits & np.uint64((1 << step) - 1)).astype(np.int64)
+        over = rest >= count
+        rest -= np.where(over, count, 0)
+        place += np.where(over, step, 0)
+        bits = np.where(over, bits >> np.uint64(step), bits)
+    return (at << 6) + place
 
 
 class EliasFano:
-    """Reads what ef_encode made; ``ends`` is the select directory, 4 bytes a high value."""
+    """Reads what ef_encode made."""
 
-    def __init__(self, head: np.ndarray, low: np.ndarray, unary: np.ndarray):
-        self.n, self.bits, length = (int(x) for x in head)
-        self.low = low
-        zeros = np.flatnonzero(np.unpackbits(unary.view(np.uint8), count=length, bitorder="little") == 0)
-        self.ends = np.append(zeros - np.arange(len(zeros)), self.n).astype(np.uint32)  # elements up to each high value
+    def __init__(self, head: np.ndarray, low: np.ndarray, unary: np.ndarray, zeros: np.ndarray, ones: np.ndarray):
+        self.n, self.bits, self.highs = (int(x) for x in head)
+        self.low, self.unary, self.zeros, self.ones = low, unary, zeros, ones
+
+    def _before(self, high: np.ndarray) -> np.ndarray:
+        """How many elements have a high part below ``high``: the ones before its zero."""
+        out = np.zeros(len(high), dtype=np.int64)
+        at = np.flatnonzero(high > 0)
+        out[at] = _select(self.unary, self.zeros, high[at] - 1, False) - (high[at] - 1)
+        return out
+
+    def values(self, i: np.ndarray) -> np.ndarray:
+        """The values at places ``i``."""
+        high = _select(self.unary, self.ones, i.copy(), True) - i
+        low = self._low(i) if self.bits else np.zeros(len(i), dtype=np.uint64)
+        return (high << self.bits) | low.astype(np.int64)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         at = i.astype(np.uint64) * np.uint64(self.bits)
@@ -65,11 +110,10 @@ class EliasFano:
         """Place of each q in the sequence, or -1: the successor of q within places first to last, if it equals q."""
         if not self.n or not len(q):
             return np.full(len(q), -1, dtype=np.int64)
-        high = np.minimum(q >> np.uint64(self.bits), np.uint64(len(self.ends))).astype(np.int64)
-        inside = high < len(self.ends)
-        high = np.minimum(high, len(self.ends) - 1)
-        hi = self.ends[high].astype(np.int64)
-        lo = np.where(high > 0, self.ends[np.maximum(high - 1, 0)].astype(np.int64), 0)
+        high = np.minimum(q >> np.uint64(self.bits), np.uint64(self.highs)).astype(np.int64)
+        inside = high < self.highs
+        high = np.minimum(high, self.highs - 1)
+        lo, hi = self._before(high), self._before(high + 1)
         if first is not None:
             lo, hi = np.maximum(lo, first), np.minimum(hi, last)
         want, end = q & np.uint64((1 << self.bits) - 1), hi.copy()
@@ -100,25 +144,21 @@ class Trie:
             n = int(raw[at])
             arrays.append(raw[at + 1 : at + 1 + n])
             at += 1 + n
-        self.contexts, self.words, self.pointers, self.follow = (EliasFano(*arrays[3 * k : 3 * k + 3]) for k in range(4))
-        self.codes = arrays[12].view(np.uint16)
-        self.starts = self._pointer_values()
-
-    def _pointer_values(self) -> np.ndarray:
-        """The pointers are all read, in order, so they are decoded at once."""
-        p = self.pointers
-        high = np.repeat(np.arange(len(p.ends)), np.diff(np.concatenate([[0], p.ends.astype(np.int64)])))
-        low = p._low(np.arange(p.n)) if p.bits else np.zeros(p.n, dtype=np.uint64)
-        return (high.astype(np.int64) << p.bits) | low.astype(np.int64)
-
-    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Code of each (context, word) pair of hashes; 0 if absent."""
-        c, w = self.contexts.find(context), self.words.find(word)
-        out = np.zeros(len(context), dtype=np.uint16)
+        self.contexts, self.words, self.pointers, self.follow = (EliasFano(*arrays[ARRAYS * k : ARRAYS * (k + 1)]) for k in range(4))
+        self.codes = arrays[4 * ARRAYS].view(np.uint16)
+
+    def find(self, context: np.ndarray, fan: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Code of each pair of hashes, 0 if absent; each of ``context`` goes with its ``fan`` next of ``word``."""
+        c = self.contexts.find(context)
+        known = c >= 0
+        first, last = np.zeros(len(c), dtype=np.int64), np.zeros(len(c), dtype=np.int64)
+        first[known], last[known] = self.pointers.values(c[known]), self.pointers.values(c[known] + 1)
+        c, first, last = (np.repeat(x, fan) for x in (c, first, last))
+        w = self.words.find(word)
+        out = np.zeros(len(word), dtype=np.uint16)
         at = np.flatnonzero((c >= 0) & (w >= 0))
-        c, w = c[at], w[at]
         # A context's successors are stored relative to it, which keeps the level sorted as a whole.
-        got = self.follow.find((c * self.words.n + w).astype(np.uint64), self.starts[c], self.starts[c + 1])
+        got = self.follow.find((c[at] * self.words.n + w[at]).astype(np.uint64), first[at], last[at])
         out[at[got >= 0]] = self.codes[got[got >= 0]]
         return out
 

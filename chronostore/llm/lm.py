@@ -21,6 +21,7 @@ from itertools import count as counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ START, END = 0, 1
 
 BLOCKS = "block long, doc_ids array<long>, held binary, lengths binary, words binary, counts binary, tokens binary, n_train long, n_tokens long"
 ASKED = "shard int, block long, entries binary, counts binary, fans binary, words binary, pairs binary"
-ANSWERS = "block long, shard int, counts binary, fans binary, codes binary, n_words long, trie binary"
+ANSWERS = "block long, shard int, counts binary, fans binary, codes binary, n_words long"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,14 +86,10 @@ def _u8(data: bytes, kind: type = np.uint64) -> np.ndarray:
 
 
 class Routes:
-    """Which shard owns a context and a successor. ``hot``: hash -> (count, parts)."""
+    """Which shard owns a context and a successor; ``keys``, ``totals`` and ``parts`` are of the hot words, sorted."""
 
-    def __init__(self, shards: int, hot: dict[int, tuple[int, int]]):
-        self.shards = shards
-        keys = sorted(hot)
-        self.keys = np.asarray(keys, dtype=np.uint64)
-        self.totals = np.asarray([hot[k][0] for k in keys], dtype=np.int64)
-        self.parts = np.asarray([hot[k][1] for k in keys], dtype=np.uint64)
+    def __init__(self, shards: int, keys: np.ndarray, totals: np.ndarray, parts: np.ndarray):
+        self.shards, self.keys, self.totals, self.parts = shards, keys, totals, parts
 
     def place(self, hashes: np.ndarray) -> np.ndarray:
         """Index into the hot list, or -1."""
@@ -148,8 +145,9 @@ class Asked:
             yield s, hashes[e].tobytes(), counts[e].tobytes(), fans[e].tobytes(), right[p].tobytes(), n[p].tobytes()
 
 
-def _ask(routes: Routes):
+def _ask(held: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        routes = Routes(*held.value)
         for batch in batches:
             for row in batch.to_pylist():
                 out = [(s, row["block"], *rest) for s, *rest in Asked(row, routes).requests()]
@@ -159,8 +157,9 @@ def _ask(routes: Routes):
     return run
 
 
-def _answer(routes: Routes):
+def _answer(held: Broadcast):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        routes = Routes(*held.value)
         rows = rows.sort_values("block")
         entries = [_u8(x) for x in rows["entries"]]
         fans = np.concatenate([_u8(x, np.uint32) for x in rows["fans"]]).astype(np.int64)
@@ -181,22 +180,20 @@ def _answer(routes: Routes):
         try:
             write_trie(path, contexts, words, left, right, quantise((n - DISCOUNT) / np.maximum(all_of[left], 1)))
             trie = Trie(path)
-            out, at, pair_at = [], 0, 0
+            out, at = [], 0
             for block, entry, asked in zip(rows["block"], entries, rows["words"]):
                 own = entry_of[at : at + len(entry)]
                 f = fans[at : at + len(entry)]
-                codes = trie.find(np.repeat(entry, f), _u8(asked))
-                out.append((block, int(rows["shard"].iloc[0]), total[own].tobytes(), fan[own].tobytes(), codes.tobytes(), 0, None))
-                at, pair_at = at + len(entry), pair_at + len(codes)
-            with open(path, "rb") as f:
-                model = f.read()
+                codes = trie.find(entry, f, _u8(asked))
+                out.append((block, int(rows["shard"].iloc[0]), total[own].tobytes(), fan[own].tobytes(), codes.tobytes(), 0))
+                at += len(entry)
             del trie
         finally:
             os.unlink(path)
         start = _start_hash()
         # The shard's part of each split context's successors.
         split = np.flatnonzero(hot >= 0)
-        out.append((-1, int(rows["shard"].iloc[0]), hot[split].astype(np.int64).tobytes(), fan[split].tobytes(), b"", int(((total > 0) & (contexts != start)).sum()), model))
+        out.append((-1, int(rows["shard"].iloc[0]), hot[split].astype(np.int64).tobytes(), fan[split].tobytes(), b"", int(((total > 0) & (contexts != start)).sum())))
         return pd.DataFrame(out, columns=[x.split()[0] for x in ANSWERS.split(", ")])
 
     return run
@@ -217,11 +214,11 @@ def _split_fans(routes: Routes, answers: DataFrame) -> np.ndarray:
     return out
 
 
-def _score(routes: Routes, split_fans: np.ndarray, n_train: int, n_words: int):
+def _score(held: Broadcast, fans_of: Broadcast, n_train: int, n_words: int):
     below = n_train + ADD * (n_words + 1)
 
     def run(key: tuple, blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        routes, split_fans, out = Routes(*held.value), fans_of.value, []
         for row in blocks.to_dict("records"):
             asked, got = Asked(row, routes), answers.sort_values("shard")
             counts = np.concatenate([_u8(x, np.int64) for x in got["counts"]])
@@ -257,8 +254,14 @@ def _score(routes: Routes, split_fans: np.ndarray, n_train: int, n_words: int):
     return run
 
 
-def _hot(blocks: DataFrame, n_train: int, shards: int) -> dict[int, tuple[int, int]]:
-    """Words of more than a quarter of a shard's share of the training tokens: fewer than 4 * shards of them."""
+def _hot(blocks: DataFrame, n_train: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of more than a quarter of a shard's share of the training tokens: hash, count, parts.
+
+    There are fewer than 4 * shards of them, of 24 bytes each, and far fewer in
+    natural text, where few words are so frequent.
+    """
+    if shards == 1:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     least = max(1.0, n_train / (4 * shards))
 
     def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +282,11 @@ def _hot(blocks: DataFrame, n_train: int, shards: int) -> dict[int, tuple[int, i
                 yield pa.RecordBatch.from_arrays([pa.array(w[at]), pa.array(_u8(row["counts"], np.int64)[at])], names=["word", "n"])
 
     sums = blocks.select("words", "counts").mapInArrow(exact, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return {r["word"] & (1 << 64) - 1: (r["n"], min(shards, int(2 * r["n"] * shards / max(1, n_train)) + 1)) for r in sums.toLocalIterator()}
+    found = np.asarray([(r["word"], r["n"]) for r in sums.toLocalIterator()], dtype=np.int64).reshape(-1, 2)
+    keys = np.ascontiguousarray(found[:, 0]).view(np.uint64)
+    order = np.argsort(keys)
+    n = found[order, 1]
+    return keys[order], n, np.minimum(shards, 2 * n * shards // max(1, n_train) + 1).astype(np.uint64)
 
 
 def score(docs: DataFrame, held_out: str = "held_out", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -287,20 +294,24 @@ def score(docs: DataFrame, held_out: str = "held_out", shard_tokens: int = SHARD
 
     Null and empty texts have the end alone. Repeated rows count, and are
     scored, each. Null doc_ids are ids like any other. With no training rows
-    every probability is uniform in form; no rows give none.
+    every probability is uniform in form; no rows give none. Other columns are
+    not read, whatever their names. A text longer than BLOCK_BYTES is a block
+    of its own. A block sends a row to each shard that owns one of its
+    contexts: at most one for each distinct pair of words in it.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), F.col(held_out).alias("held"))
     blocks = stored(rows.mapInArrow(_blocks, BLOCKS), "lm-blocks", compression="zstd")
     n_train, n_tokens = (int(x or 0) for x in blocks.agg(F.sum("n_train"), F.sum("n_tokens")).first())
     shards = max(1, -(-n_tokens // shard_tokens))
-    routes = Routes(shards, _hot(blocks, n_train, shards) if shards > 1 else {})
-    asked = blocks.drop("doc_ids").mapInArrow(_ask(routes), ASKED)
-    answers = stored(asked.groupBy("shard").applyInPandas(_answer(routes), ANSWERS), "lm-answers", compression="zstd")
+    routes = (shards, *_hot(blocks, n_train, shards))
+    held = spark.sparkContext.broadcast(routes)
+    asked = blocks.drop("doc_ids").mapInArrow(_ask(held), ASKED)
+    answers = stored(asked.groupBy("shard").applyInPandas(_answer(held), ANSWERS), "lm-answers", compression="zstd")
     n_words = int(answers.where("block < 0").agg(F.sum("n_words")).first()[0] or 0)
     replies = answers.where("block >= 0").select("block", "shard", "counts", "fans", "codes")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_score(routes, _split_fans(routes, answers), n_train, n_words), schema)
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_score(held, spark.sparkContext.broadcast(_split_fans(Routes(*routes), answers)), n_train, n_words), schema)
 
 
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
