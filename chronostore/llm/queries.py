@@ -17,4 +17,4 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
-ORACLES = {"op10_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLES = {"op3_secret_scan": secrets.ORACLE_SQL, "op6_benchmark_decontamination": decontam.ORACLE_SQL, "op10_exact_dedup": exact_dedup.ORACLE_SQL}

@@ -96,3 +96,24 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = Ledger(spark, new_path(spark, "secret-ledger"))
     blobs = ledger.scan(documents(spark, sf_dir).select("doc_id", "text"))
     return report(blobs, ledger.findings())
+
+
+def _sql_spans(rank: int, rule: Rule) -> str:
+    """Spans of one rule, from the gaps between its matches and their lengths."""
+    p = rule.pattern.replace("'", "''")
+    return f"""SELECT doc_id, row_id, {rank} AS rank, '{rule.kind}' AS kind, v, list_sum(lens[1:k]) + list_sum(gaps[1:k]) - lens[k] AS s, list_sum(lens[1:k]) + list_sum(gaps[1:k]) AS e
+  FROM (SELECT *, unnest(vals) AS v, generate_subscripts(vals, 1) AS k FROM (
+    SELECT doc_id, row_id, regexp_extract_all(text, '{p}', {rule.group}) AS vals,
+           list_transform(regexp_extract_all(text, '{p}', 0), lambda x: length(x)) AS lens, list_transform(string_split_regex(text, '{p}'), lambda x: length(x)) AS gaps FROM d))
+  WHERE length(v) >= {LEAST[rule.kind]}"""
+
+
+_BASE = ", ".join(f"'{k}'" for k in BASE_KINDS)
+_JOINED = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank)"
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row_id, coalesce(text, '') AS text FROM documents),
+f AS ({" UNION ALL ".join(_sql_spans(k, r) for k, r in enumerate(RULES))}),
+g AS (SELECT row_id, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in BASE_KINDS)}, {_JOINED} FILTER (WHERE kind IN ({_BASE})) AS base, {_JOINED} AS spans FROM f GROUP BY row_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE_KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (row_id)
+"""

@@ -389,6 +389,55 @@ def test_decontamination(spark):
     assert got == want and {i for i, _ in got} == {0, 1, 6, 7}
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 7, 8, 12, 30])
+@pytest.mark.parametrize("broadcast", [0, 500_000])
+def test_items_of_every_length_are_found(spark, n, broadcast):
+    """Wherever the tokens that may differ are, for short items and long ones, broadcast or shuffled."""
+    rnd = random.Random(n)
+    word_of = lambda k: f"w{k:03d}"
+    item = [word_of(k) for k in range(n)]
+    most = n - next(k for k in range(n + 1) if k >= 0.8 * min(n, 20)) if n < 20 else 4
+    rows, want = [], set()
+    spots = [()] + [(k,) for k in range(n)] + [tuple(rnd.sample(range(n), most)) for _ in range(40 if n > 8 else 0)]
+    for i, spot in enumerate(spots):
+        ws = [w if k not in spot else "zzz" for k, w in enumerate(item)]
+        rows.append((i, f"{sentence(rnd, 9)} {' '.join(ws)} {sentence(rnd, 9)}"))
+        if any(sum(k not in spot for k in range(a, a + min(n, 20))) >= 0.8 * min(n, 20) for a in range(n - min(n, 20) + 1)):
+            want.add(i)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = decontam.overlaps(docs, spark.createDataFrame([(1, " ".join(item)), (2, "")], "item_id bigint, text string"), broadcast)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(i, 1) for i in want}
+
+
+@pytest.mark.parametrize("name", ["op3_secret_scan", "op6_benchmark_decontamination", "op10_exact_dedup"])
+def test_registered_query_equals_its_sql(spark, sf_dir, name):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    db = duckdb.connect()
+    for t in ("documents", "benchmark", "labels"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet/*.parquet'")
+    want = db.sql(entry.oracle_sql()[name])
+    got = entry.queries()[name](spark, sf_dir)
+    assert sorted(want.columns) == sorted(got.columns)
+    plain = lambda rows: sorted(repr(tuple(r)) for r in rows)
+    assert plain(got.select(*want.columns).collect()) == plain(want.fetchall())
+
+
+@pytest.mark.parametrize("universe, n", [(1, 1), (1 << 64, 1), (1 << 64, 1000), (3000, 1000), (1 << 20, 40_000), (100, 5000)])
+def test_elias_fano_reads_what_it_wrote(universe, n):
+    from chronostore.llm.elias_fano import EliasFano, ef_encode
+
+    rnd = np.random.default_rng(n)
+    values = np.sort(rnd.integers(0, universe, n, dtype=np.uint64, endpoint=False) if universe < 1 << 64 else rnd.integers(0, (1 << 64) - 1, n, dtype=np.uint64))
+    ef = EliasFano(*ef_encode(values, universe))
+    assert (ef.values(np.arange(n)).view(np.uint64) == values).all()
+    asked = np.concatenate([values, rnd.integers(0, min(universe, (1 << 64) - 1), 500, dtype=np.uint64)])
+    got = ef.find(asked)
+    assert ((got >= 0) == np.isin(asked, values)).all() and (values[got[got >= 0]] == asked[got >= 0]).all()
+
+
 def test_simhash(spark, sf_dir, docs):
     got = by_id(QUERIES["op7_simhash_near_dedup"](spark, sf_dir), "fingerprint", "component_id")
     assert got == brute.simhash_components(docs)
