@@ -1,10 +1,13 @@
-"""Near-duplicates by Jaccard similarity of word shingles: MinHash bands give candidates, exact sets decide.
-
-Texts become distinct sets of shingle hashes, so copies cost nothing further. A
-set falls into one bucket for each band of its MinHash signature, and is paired
-there with the bucket's smallest and largest set: at most two pairs for each
-set and band, however crowded the bucket. Sets of paired texts are made again
-from the texts and compared in full; pairs that are similar enough are links.
+"""Near-duplicates by Jaccard similarity of word shingles: SimHash links and MinHash bands give candidates, exact sets decide.
+
+Texts become distinct sets of shingle hashes, so copies cost nothing further.
+Fingerprints of the sets are linked by the binary trie self-join of
+``simhash``. Within 3 of 64 bits that finds few of the pairs at a similarity of
+0.8, and a budget that finds them makes the walk quadratic; so sets also fall
+into one bucket for each band of a MinHash signature, and are paired there with
+two sets that are picked anew in each bucket: at most two pairs for each set
+and band, however crowded the bucket. Sets of paired texts are made again from
+the texts and compared in full; pairs that are similar enough are links.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, text_of
 from .graph import components
+from .simhash import majority, trie_links
 
 #: A pair of similarity 0.8 shares a bucket with probability 1 - (1 - 0.8**ROWS)**BANDS = 0.9996.
 BANDS, ROWS = 20, 5
@@ -63,8 +67,9 @@ def _sketches(width: int, seed: int):
         for batch in batches:
             sets = [shingle_set(t, width, seed) for t in batch.column(2).to_pylist()]
             nodes = np.asarray([xxh64_intdigest(s.tobytes(), seed) for s in sets], dtype=np.uint64).view(np.int64)
-            cells = [batch.column(0), batch.column(1), pa.array(nodes), pa.array([len(s) for s in sets], type=pa.int32()), pa.array([buckets(s, seed) for s in sets], type=pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cells, names=["doc_id", "text_key", "node", "size", "buckets"])
+            prints = np.asarray([majority(s) for s in sets], dtype=np.uint64).view(np.int64)
+            cells = [batch.column(0), batch.column(1), pa.array(nodes), pa.array([len(s) for s in sets], type=pa.int32()), pa.array(prints), pa.array([buckets(s, seed) for s in sets], type=pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cells, names=["doc_id", "text_key", "node", "size", "fp", "buckets"])
 
     return run
 
@@ -78,26 +83,32 @@ def _sets(width: int, seed: int):
     return run
 
 
-def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, seed: int = 42) -> DataFrame:
+def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, seed: int = 42, budget: int = 3) -> DataFrame:
     """(doc_id, component_id), one row for each row of ``docs``: groups linked by pairs of Jaccard similarity ``least`` or more.
 
     A text of fewer words than a shingle is one shingle; blank and null texts
     are one group. component_id is the smallest doc_id of a group; a group of
     null doc_ids alone has a null one. Texts and sets are told apart by 64-bit
     hashes. A pair that meets in no bucket, or in crowded ones alone without
-    being the smallest or largest set there, is linked through others or not
-    at all.
+    either being picked there, is linked through others or not at all. Columns
+    beside doc_id and text are not read, whatever their names; repeated rows
+    are rows of their own; a very long text is a set like any other.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_key"), text_of().alias("text"))
-    sketches = stored(rows.mapInArrow(_sketches(width, seed), "doc_id long, text_key long, node long, size int, buckets array<long>"), "sketches")
-    nodes = stored(sketches.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("buckets").alias("buckets")), "sketches-distinct")
+    sketches = stored(rows.mapInArrow(_sketches(width, seed), "doc_id long, text_key long, node long, size int, fp long, buckets array<long>"), "sketches")
+    nodes = stored(sketches.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("buckets").alias("buckets")), "sketches-distinct")
     # Both sides of each join are shuffled plain files, so AQE can split a crowded bucket or a set with many pairs.
     dealt = stored(nodes.select("node", "size", F.explode("buckets").alias("bucket")), "buckets")
-    here = F.struct("node", "size")
+    here = F.struct(F.xxhash64("node", "bucket").alias("turn"), "node", "size")  # other sets in each bucket
     ends = stored(dealt.groupBy("bucket").agg(F.min(here).alias("low"), F.max(here).alias("high")).where("low.node <> high.node"), "buckets-ends")
-    met = dealt.join(ends, "bucket").select("node", "size", F.explode(F.array("low", "high")).alias("to")).where("node <> to.node")
-    met = met.where(F.least("size", "to.size") >= least * F.greatest("size", "to.size"))
-    pairs = stored(met.select(F.least("node", "to.node").alias("a"), F.greatest("node", "to.node").alias("b")).distinct(), "pairs")
+    met = dealt.join(ends, "bucket").select("node", "size", F.explode(F.array("low", "high")).alias("to")).select("node", "size", "to.node", "to.size").toDF("x", "x_size", "y", "y_size")
+    # Fingerprints, and the nodes that share one, are linked through one node of each.
+    of_fp = stored(nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("of")).select("fp", F.col("of.node").alias("y"), F.col("of.size").alias("y_size")), "fingerprint-nodes")
+    alike = nodes.select("fp", F.col("node").alias("x"), F.col("size").alias("x_size")).join(of_fp, "fp").drop("fp")
+    side = lambda c, names: of_fp.toDF(c, *names)
+    near = trie_links(of_fp.select("fp"), budget).join(side("a", ("x", "x_size")), "a").join(side("b", ("y", "y_size")), "b").drop("a", "b")
+    met = met.unionByName(alike).unionByName(near).where("x <> y").where(F.least("x_size", "y_size") >= least * F.greatest("x_size", "y_size"))
+    pairs = stored(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_key"), "node")
     texts = rows.select("text_key", "text").join(wanted.hint("shuffle_hash"), "text_key").select("node", "text")
     sets = stored(texts.mapInArrow(_sets(width, seed), "node long, hashes array<long>").dropDuplicates(["node"]), "shingle-sets")
