@@ -4,6 +4,9 @@ A mask fixes which token positions of a window are hashed and which are
 ignored, so a window still hits where an ignored token was substituted. All
 windows of both sides are hashed under each mask and joined; each hit fixes an
 alignment of an item and a document, and the tokens around it are compared.
+Before a document's windows are hashed, a bit map of the first two tokens of the
+benchmark's windows drops those that cannot hit; it is of a fixed size, and only
+makes the join smaller.
 
 From eight tokens on the four masks hit every alignment that the share of equal
 tokens allows. Shorter items have masks of their own, which are hashed only if
@@ -13,6 +16,8 @@ anywhere, and an item of up to four must be equal throughout.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +31,8 @@ SHORT_MASKS = ("1111", "10111", "11011", "11101")
 #: Of items of one to four tokens.
 TINY_MASKS = ("1", "11", "111", "1111")
 ALL_MASKS = (*MASKS, *SHORT_MASKS, *TINY_MASKS)
+#: Words of 64 bits in the map of the benchmark's windows.
+MAP_WORDS = 1 << 14
 #: Hits of a document that are compared in one row.
 HITS = 1000
 #: Tokens of the window that must overlap, and the share of them that must be equal.
@@ -45,25 +52,67 @@ def _masks_of(n: Column) -> list[Column]:
     return [(n > 4) if k < len(MASKS) else n.between(5, 7) if k < tiny else n == k - tiny + 1 for k in range(len(ALL_MASKS))]
 
 
-def _seeds(hs: Column, masks: list[int], wanted: list[Column] | None = None) -> Column:
-    """For each of ``masks`` the seeds of all windows in order, for an array of token hashes; none where not ``wanted``."""
+def _used(k: int) -> list[int]:
+    return [o for o, c in enumerate(ALL_MASKS[k]) if c == "1"]
+
+
+def _second(k: int) -> int:
+    """Offset of the second token that counts; 0 if only one does."""
+    return (_used(k) + [0])[1]
+
+
+def _start(hs: Column, i: Column, offset: int) -> Column:
+    """Hash of the first two tokens that count in a window."""
+    return F.xxhash64(F.lit(-1 - offset), F.get(hs, i), F.get(hs, i + offset))
+
+
+def _word(h: Column) -> Column:
+    return F.pmod(F.shiftrightunsigned(h, 6), F.lit(MAP_WORDS)).cast("int")
+
+
+def _bit(h: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int"))
+
+
+def _seeds(hs: Column, masks: list[int], wanted: list[Column] | None, bits: Column | None) -> Column:
+    """Array of (at, seed) of the windows under ``masks``, for an array of token hashes.
+
+    Only masks that are ``wanted``; only windows whose start is in the map ``bits``.
+    """
+
+    def under(k: int, starts: Column) -> Column:
+        fits = lambda i: (i <= F.size(hs) - len(ALL_MASKS[k])) & (F.lit(True) if wanted is None else wanted[k])
+        return F.transform(F.filter(starts, fits), lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(k), *[F.get(hs, i + o) for o in _used(k)]).alias("seed")))
+
+    def of_offset(offset: int) -> Column:
+        known = indices(hs)
+        if bits is not None:
+            known = F.filter(known, lambda i: let(_start(hs, i, offset), lambda h: F.get(bits, _word(h)).bitwiseAND(_bit(h)) != 0))
+        return let(known, lambda starts: F.concat(*[under(k, starts) for k in masks if _second(k) == offset]))
+
+    return F.concat(*[of_offset(o) for o in sorted({_second(k) for k in masks})])
+
+
+def _hashes(text: Column, body: Callable[[Column], Column]) -> Column:
+    return let(F.transform(tokens(text), lambda w: F.xxhash64(w)), body)
 
-    def under(k: int) -> Column:
-        used = [o for o, c in enumerate(ALL_MASKS[k]) if c == "1"]
-        last = F.size(hs) - len(ALL_MASKS[k])
-        some = (last >= 0) if wanted is None else (last >= 0) & wanted[k]
-        starts = F.when(some, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.xxhash64(F.lit(k), *[F.get(hs, i + o) for o in used]))
 
-    return F.array(*[under(k) for k in masks])
+def start_map(items: DataFrame, masks: list[int]) -> Column:
+    """The map of the starts of all windows of ``items`` (text): an array of MAP_WORDS numbers, whatever the items."""
+    starts = _hashes(F.col("text"), lambda hs: F.concat(*[F.transform(indices(hs), lambda i: _start(hs, i, o)) for o in sorted({_second(k) for k in masks})]))
+    found = items.select(F.explode(starts).alias("h")).groupBy(_word(F.col("h")).alias("word")).agg(F.bit_or(_bit(F.col("h"))).alias("bits"))
+    bits = {r["word"]: r["bits"] for r in found.collect()}  # at most MAP_WORDS rows
+    # A cast of a constant is a constant.
+    return F.split(F.lit(",".join(str(bits.get(w, 0)) for w in range(MAP_WORDS))), ",").cast("array<bigint>")
 
 
-def seeds(rows: DataFrame, masks: list[int], by_size: bool, *keys: str) -> DataFrame:
+def seeds(rows: DataFrame, masks: list[int], by_size: bool, *keys: str, bits: Column | None = None) -> DataFrame:
     """keys, n (tokens), at, seed of ``rows`` (keys, text). ``by_size``: only under the masks for a text of n tokens."""
-    made = lambda hs: _seeds(hs, masks, _masks_of(F.size(hs)) if by_size else None)
-    hashes = let(F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w)), lambda hs: F.struct(F.size(hs).alias("n"), made(hs).alias("by_mask")))
-    of_mask = rows.select(*keys, hashes.alias("s")).select(*keys, "s.n", F.explode("s.by_mask").alias("of_mask"))
-    return of_mask.select(*keys, "n", F.posexplode("of_mask").alias("at", "seed"))
+    made = lambda hs: _seeds(hs, masks, _masks_of(F.size(hs)) if by_size else None, None)
+    if bits is not None:
+        made = lambda hs: let(bits, lambda m: _seeds(hs, masks, None, m))
+    found = rows.select(*keys, _hashes(F.col("text"), lambda hs: F.struct(F.size(hs).alias("n"), made(hs).alias("windows"))).alias("s"))
+    return found.select(*keys, "s.n", F.inline("s.windows"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
@@ -85,7 +134,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROAD
     tested = stored(seeds(items, masks, True, "item_id").distinct(), "benchmark-seeds").withColumnRenamed("at", "item_at")
     few = tested.count() <= broadcast_seeds
     rows = docs.select("doc_id", text_of().alias("text"))
-    hits = seeds(rows, masks, False, "doc_id").drop("n").join(F.broadcast(tested) if few else tested, "seed")
+    bits = start_map(items, masks) if few else None
+    hits = seeds(rows, masks, False, "doc_id", bits=bits).drop("n").join(F.broadcast(tested) if few else tested, "seed")
     hits = hits.select(F.col("doc_id").alias("hit_id"), "item_id", "n", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     # Alignments of one document: those that share a seed with an item.
     turn = F.floor((F.row_number().over(Window.partitionBy("hit_id").orderBy("item_id", "shift")) - 1) / HITS)
