@@ -1,8 +1,8 @@
 """Elias-Fano sequences and a two-level n-gram trie over them, read from a memory-mapped file.
 
 A sorted sequence keeps its values' low bits packed and its high bits in unary,
-with the places of every SAMPLE-th zero and one beside it, from which others are
-counted on. The trie's first level holds the context words, the second their
+with the number of zeros before each block of that; a zero or a one is found by
+a binary search over the blocks and a count within one. The trie's first level holds the context words, the second their
 successors; pointers say where a context's successors begin. Nothing but the
 file is kept: all look-ups take arrays and read the words that they touch.
 """
@@ -17,10 +17,10 @@ import numpy as np
 #: log10 of a probability is stored in this many steps of 16 bits; code 0 means absent.
 STEP = 18 / 65_534
 _CHUNK = 1 << 16
-#: Zeros, or ones, of a unary part for each place in its directory.
-SAMPLE = 64
+#: 64-bit words of a unary part for each count in its directory.
+BLOCK = 8
 #: Arrays in the file for each sequence.
-ARRAYS = 5
+ARRAYS = 4
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -45,20 +45,22 @@ def ef_encode(values: np.ndarray, universe: int) -> list[np.ndarray]:
     high = (values >> np.uint64(bits)).astype(np.int64)
     unary = np.zeros(int(high[-1]) + n + 1 if n else 1, dtype=np.uint8)
     unary[high + np.arange(n)] = 1
-    # A zero and a one behind the end, so that every count that is asked for ends.
-    unary = np.concatenate([unary, np.asarray([0, 1], dtype=np.uint8)])
-    places = [np.flatnonzero(unary == x)[::SAMPLE].astype(np.uint64) for x in (0, 1)]
     raw = np.packbits(unary, bitorder="little")
-    raw = np.concatenate([raw, np.zeros(-len(raw) % 8, dtype=np.uint8)]).view(np.uint64)
-    return [np.asarray([n, bits, int(high[-1]) + 1 if n else 0], dtype=np.uint64), np.concatenate([*packed, np.zeros(1, dtype=np.uint64)]), raw, *places]
+    raw = np.concatenate([raw, np.zeros(-len(raw) % (8 * BLOCK), dtype=np.uint8)]).view(np.uint64)
+    zeros = 64 * BLOCK - np.bitwise_count(raw).reshape(-1, BLOCK).sum(axis=1, dtype=np.int64)
+    before = np.concatenate([[0], np.cumsum(zeros)[:-1]]).astype(np.uint64)
+    return [np.asarray([n, bits, int(high[-1]) + 1 if n else 0], dtype=np.uint64), np.concatenate([*packed, np.zeros(1, dtype=np.uint64)]), raw, before]
 
 
-def _select(words: np.ndarray, places: np.ndarray, k: np.ndarray, ones: bool) -> np.ndarray:
-    """Place of the k-th one, or zero, of the bits in ``words``; ``places`` has every SAMPLE-th."""
+def _select(words: np.ndarray, zeros: np.ndarray, k: np.ndarray, ones: bool) -> np.ndarray:
+    """Place of the k-th one, or zero, of the bits in ``words``; ``zeros``: how many lie before each block."""
     read = lambda at: words[at] if ones else ~words[at]
-    base = places[k // SAMPLE].astype(np.int64)
-    rest, at = k % SAMPLE, base >> 6
-    bits = read(at) & (np.uint64((1 << 64) - 1) << (base & 63).astype(np.uint64))
+    before = zeros.astype(np.int64)
+    if ones:
+        before = np.arange(len(zeros)) * (64 * BLOCK) - before
+    block = np.searchsorted(before, k, side="right") - 1
+    rest, at = k - before[block], block * BLOCK
+    bits = read(at)
     while True:
         count = np.bitwise_count(bits).astype(np.int64)
         on = np.flatnonzero(rest >= count)
@@ -80,9 +82,9 @@ def _select(words: np.ndarray, places: np.ndarray, k: np.ndarray, ones: bool) ->
 class EliasFano:
     """Reads what ef_encode made."""
 
-    def __init__(self, head: np.ndarray, low: np.ndarray, unary: np.ndarray, zeros: np.ndarray, ones: np.ndarray):
+    def __init__(self, head: np.ndarray, low: np.ndarray, unary: np.ndarray, zeros: np.ndarray):
         self.n, self.bits, self.highs = (int(x) for x in head)
-        self.low, self.unary, self.zeros, self.ones = low, unary, zeros, ones
+        self.low, self.unary, self.zeros = low, unary, zeros
 
     def _before(self, high: np.ndarray) -> np.ndarray:
         """How many elements have a high part below ``high``: the ones before its zero."""
@@ -93,7 +95,7 @@ class EliasFano:
 
     def values(self, i: np.ndarray) -> np.ndarray:
         """The values at places ``i``."""
-        high = _select(self.unary, self.ones, i.copy(), True) - i
+        high = _select(self.unary, self.zeros, i, True) - i
         low = self._low(i) if self.bits else np.zeros(len(i), dtype=np.uint64)
         return (high << self.bits) | low.astype(np.int64)
 
