@@ -8,6 +8,12 @@ into one bucket for each band of a MinHash signature, and are paired there with
 two sets that are picked anew in each bucket: at most two pairs for each set
 and band, however crowded the bucket. Sets of paired texts are made again from
 the texts and compared in full; pairs that are similar enough are links.
+
+Buckets of more than three sets that these links leave in several groups may
+hold further ones. Their sets are joined exactly, by their rarest shingles: sets
+of similarity t have one in common among the rarest |s| - ceil(t |s|) + 1 of
+each. Shingles of one group alone count as the rarest, since only links between
+groups are looked for; so a set with enough text of its own meets no other.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, text_of
@@ -83,16 +89,54 @@ def _sets(width: int, seed: int):
     return run
 
 
+def _sets_of(rows: DataFrame, nodes: DataFrame, width: int, seed: int, name: str) -> DataFrame:
+    """(node, hashes), stored, for ``nodes`` (node, text_key)."""
+    texts = rows.select("text_key", "text").join(nodes.hint("shuffle_hash"), "text_key").select("node", "text")
+    return stored(texts.mapInArrow(_sets(width, seed), "node long, hashes array<long>").dropDuplicates(["node"]), name)
+
+
+def _links(pairs: DataFrame, sets: DataFrame, least: float, name: str) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets are similar enough, stored."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("a_hashes")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("b_hashes")), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("a_hashes", "b_hashes")).alias("common"), (F.size("a_hashes") + F.size("b_hashes")).alias("sizes"))
+    return stored(both.where(F.col("common") >= least * (F.col("sizes") - F.col("common"))).select("a", "b"), name)
+
+
+def _mixed(dealt: DataFrame, ends: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(node, label): the sets in buckets of more than three that are left in several groups."""
+    crowded = dealt.join(ends.where("n > 3").select("bucket"), "bucket").select("bucket", "node")
+    members = stored(crowded.join(labelled.select("node", "label"), "node"), "buckets-crowded")
+    several = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return members.join(several.select("bucket"), "bucket").select("node", "label").distinct()
+
+
+def rare_pairs(sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): all pairs of ``sets`` (node, label, hashes) of different labels that may be similar enough, by their rarest shingles.
+
+    ``left`` counts a set's shingles from one on, in a common order of all sets.
+    At the first one that two sets have in common the smaller count bounds
+    their overlap, so pairs below the overlap that ``least`` takes are let go.
+    """
+    shingles = sets.select("node", "label", F.size("hashes").alias("size"), F.explode("hashes").alias("h"))
+    shared = shingles.groupBy("h").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h", "n")
+    ranked = shingles.join(shared, "h").withColumn("left", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), F.desc("h"))))
+    rarest = stored(ranked.where(F.col("left") >= F.ceil(least * F.col("size") - 1e-9)).select("h", "node", "label", "size", "left"), "rarest-shingles")
+    side = lambda c: rarest.toDF("h", *[f"{c}_{x}" for x in rarest.columns[1:]])
+    met = side("a").join(side("b"), "h").where("a_node < b_node AND a_label <> b_label")
+    enough = (1 + least) * F.least("a_left", "b_left") >= least * (F.col("a_size") + F.col("b_size")) - 1e-9
+    return met.where(enough).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+
+
 def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, seed: int = 42, budget: int = 3) -> DataFrame:
     """(doc_id, component_id), one row for each row of ``docs``: groups linked by pairs of Jaccard similarity ``least`` or more.
 
     A text of fewer words than a shingle is one shingle; blank and null texts
     are one group. component_id is the smallest doc_id of a group; a group of
     null doc_ids alone has a null one. Texts and sets are told apart by 64-bit
-    hashes. A pair that meets in no bucket, or in crowded ones alone without
-    either being picked there, is linked through others or not at all. Columns
-    beside doc_id and text are not read, whatever their names; repeated rows
-    are rows of their own; a very long text is a set like any other.
+    hashes. All groups of the pairs that share a bucket are found; a pair of
+    similarity 0.8 shares none with probability 0.0004. Columns beside doc_id
+    and text are not read, whatever their names; repeated rows are rows of
+    their own; a very long text is a set like any other.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_key"), text_of().alias("text"))
     sketches = stored(rows.mapInArrow(_sketches(width, seed), "doc_id long, text_key long, node long, size int, fp long, buckets array<long>"), "sketches")
@@ -100,7 +144,7 @@ def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, seed: in
     # Both sides of each join are shuffled plain files, so AQE can split a crowded bucket or a set with many pairs.
     dealt = stored(nodes.select("node", "size", F.explode("buckets").alias("bucket")), "buckets")
     here = F.struct(F.xxhash64("node", "bucket").alias("turn"), "node", "size")  # other sets in each bucket
-    ends = stored(dealt.groupBy("bucket").agg(F.min(here).alias("low"), F.max(here).alias("high")).where("low.node <> high.node"), "buckets-ends")
+    ends = stored(dealt.groupBy("bucket").agg(F.min(here).alias("low"), F.max(here).alias("high"), F.count("*").alias("n")).where("low.node <> high.node"), "buckets-ends")
     met = dealt.join(ends, "bucket").select("node", "size", F.explode(F.array("low", "high")).alias("to")).select("node", "size", "to.node", "to.size").toDF("x", "x_size", "y", "y_size")
     # Fingerprints, and the nodes that share one, are linked through one node of each.
     of_fp = stored(nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("of")).select("fp", F.col("of.node").alias("y"), F.col("of.size").alias("y_size")), "fingerprint-nodes")
@@ -110,12 +154,16 @@ def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, seed: in
     met = met.unionByName(alike).unionByName(near).where("x <> y").where(F.least("x_size", "y_size") >= least * F.greatest("x_size", "y_size"))
     pairs = stored(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_key"), "node")
-    texts = rows.select("text_key", "text").join(wanted.hint("shuffle_hash"), "text_key").select("node", "text")
-    sets = stored(texts.mapInArrow(_sets(width, seed), "node long, hashes array<long>").dropDuplicates(["node"]), "shingle-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("a_hashes")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("b_hashes")), "b")
-    both = both.select("a", "b", F.size(F.array_intersect("a_hashes", "b_hashes")).alias("common"), (F.size("a_hashes") + F.size("b_hashes")).alias("sizes"))
-    labels = components(stored(both.where(F.col("common") >= least * (F.col("sizes") - F.col("common"))).select("a", "b"), "links"))
-    labelled = stored(nodes.select("node", "first_id").join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label")), "labelled")
+    labels = components(_links(pairs, _sets_of(rows, wanted, width, seed, "shingle-sets"), least, "links"))
+    labelled = stored(nodes.select("node", "first_id", "text_key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    mixed = stored(_mixed(dealt, ends, labelled), "mixed")
+    if not mixed.isEmpty():
+        sets = _sets_of(rows, mixed.join(labelled.select("node", "text_key"), "node").select("node", "text_key"), width, seed, "mixed-sets")
+        more = _links(stored(rare_pairs(sets.join(mixed, "node"), least), "rare-pairs"), sets, least, "links-more")
+        of = lambda c: labelled.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+        merged = components(more.join(of("a"), "a").join(of("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))
+        merged = merged.toDF("label", "merged")
+        labelled = stored(labelled.join(merged, "label", "left").withColumn("label", F.coalesce("merged", "label")).drop("merged"), "labelled-again")
     smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
     classes = stored(labelled.join(smallest, "label").select("node", "component_id"), "classes")
     return sketches.select("doc_id", "node").join(classes, "node").select("doc_id", "component_id")

@@ -179,3 +179,21 @@ def exact(docs):
     for i, t in docs:
         groups.setdefault(norm[i], []).append((-len(t or ""), i))
     return {i: (min(g := groups[norm[i]])[1], len(g), min(g)[1] == i, hashlib.sha256(norm[i].encode()).hexdigest()) for i, t in docs}
+
+
+def jaccard_groups(rows, width=5, least=0.8):
+    """Smallest id of each text's group: components of all pairs of shingle sets that are similar enough."""
+    sets = {i: {" ".join(ws[k : k + width]) for k in range(max(1, len(ws) - width + 1))} for i, t in rows for ws in [words(t)]}
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    return {i: root(i) for i in sets}

@@ -458,23 +458,46 @@ def test_near_dedup_stage_links_pairs_of_jaccard_four_fifths(spark, sf_dir):
     base = sentence(rnd, 200).split()
     for i in range(300, 380):
         rows.append((i, " ".join(w if k != i - 300 and k != 2 * i - 600 else f"w{i}" for k, w in enumerate(base))))
-    sets = {i: {" ".join(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))} for i, t in rows for ws in [brute.words(t)]}
-    up = {i: i for i in sets}
-
-    def root(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    for i in sets:
-        for j in sets:
-            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                a, b = sorted((root(i), root(j)))
-                up[b] = a
+    want = brute.jaccard_groups(rows)
     df = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], DOCUMENTS)
-    assert {r.doc_id: r.component_id for r in jaccard.similar_groups(df).collect()} == {i: root(i) for i in sets}
+    assert {r.doc_id: r.component_id for r in jaccard.similar_groups(df).collect()} == want
     kept = {r.doc_id for r in P.near_dedup(spark, df, sf_dir).collect()}
-    assert kept == {i for i in sets if root(i) == i} and 20 < sum(i in kept for i in range(11, 210, 2)) < 90
+    assert kept == {i for i in want if want[i] == i} and 20 < sum(i in kept for i in range(11, 210, 2)) < 90
+
+
+def families(rnd, n):
+    """Texts that share three quarters of their words, so all meet in crowded buckets; only those of one family are similar."""
+    body = sentence(rnd, 300).split()
+    rows = []
+    for f in range(n):
+        own = sentence(rnd, 100).split()
+        for k in range(5):
+            ws = body + own
+            for at in rnd.sample(range(len(ws)), rnd.randint(0, 8)):
+                ws[at] = f"f{f}k{k}at{at}"
+            rows.append((len(rows), " ".join(ws)))
+    rnd.shuffle(rows)
+    return rows
+
+
+def test_crowded_buckets_lose_no_link(spark):
+    rows = families(random.Random(21), 40)
+    want = brute.jaccard_groups(rows)
+    df = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], DOCUMENTS)
+    assert {r.doc_id: r.component_id for r in jaccard.similar_groups(df).collect()} == want
+    assert 40 <= len(set(want.values())) < 120
+
+
+@pytest.mark.parametrize("least", [0.6, 0.8, 0.9])
+def test_rare_pairs_have_every_similar_pair_of_two_groups(spark, least):
+    rnd = random.Random(5)
+    sets = {i: rnd.sample(range(60), rnd.randint(1, 50)) for i in range(40)}
+    for i in range(40, 80):
+        sets[i] = [x for x in sets[i - 40] if rnd.random() > 0.08] + [100 + i] * (i % 2) or [0]
+    rows = [(i, i % 7, v) for i, v in sets.items()]
+    got = {(r.a, r.b) for r in jaccard.rare_pairs(spark.createDataFrame(rows, "node long, label long, hashes array<long>"), least).collect()}
+    similar = {(a, b) for a in sets for b in sets if a < b and a % 7 != b % 7 and len(set(sets[a]) & set(sets[b])) >= least * len(set(sets[a]) | set(sets[b]))}
+    assert similar and similar <= got and len(got) < 80 * 79 // 4
 
 
 @pytest.mark.parametrize("budget", [1, 3, 6])
