@@ -292,6 +292,29 @@ def run_brute(rows, long_words=50):
     return gone
 
 
+def test_line_dedup_recall_by_length(spark):
+    """Planted passages between fresh lines: all of 50 words or more go, shorter ones the likelier the longer; nothing else goes."""
+    rnd = random.Random(3)
+    rows, planted = [], []
+    for k in (2, 5, 8, 12):
+        for _ in range(60):
+            passage = [sentence(rnd, rnd.randint(4, 8)) for _ in range(k)]
+            for copy in range(2):
+                around = [[sentence(rnd, rnd.randint(4, 8)) for _ in range(rnd.randint(1, 8))] for _ in range(2)]
+                rows.append((len(rows), "\n".join(around[0] + passage + around[1]), None))
+                planted.append((k, copy, passage, around[0] + around[1]))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint")
+    out = {r.doc_id: set(r.text.split("\n")) for r in line_dedup.dedup_lines(df).collect()}
+    gone = {k: [] for k in (2, 5, 8, 12)}
+    for i, (k, copy, passage, around) in enumerate(planted):
+        assert out[i] >= set(around) and (copy or out[i] >= set(passage))
+        if copy:
+            gone[k].append(not out[i] & set(passage))
+            assert gone[k][-1] or sum(len(line.split()) for line in passage) < 50
+    share = [sum(v) / len(v) for v in gone.values()]
+    assert share == sorted(share) and share[1] > 0.3 and share[2] > 0.8 and share[3] == 1
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_line_dedup_finds_every_run_of_fifty_words(spark, seed):
     """Lines of any length, blank ones too, around passages of any number of lines; no chunk border matters."""
