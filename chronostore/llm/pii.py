@@ -33,10 +33,12 @@ KINDS = tuple(r.kind for r in RULES)
 
 #: A token that has a digit or an at sign.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-#: Letters of a neighbouring token that count.
-WORD = 40
-#: Code points of the longest token that is taken for an identifier.
-LONGEST = 256
+#: The last word of a gap, the word before it, and the first one. A gap holds whole words; each is looked at twice at most.
+LAST = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++\z"
+SECOND = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++[^\x20\x09-\x0D]++[\x20\x09-\x0D]++\z"
+FIRST = r"^[\x20\x09-\x0D]++([^\x20\x09-\x0D]++)"
+#: Code points up to which a pattern or an instance is its own name.
+NAMED = 64
 #: Code points in a cell of a text, by which overlapping spans are found.
 CELL = 256
 
@@ -61,41 +63,51 @@ def base_spans(rows: DataFrame) -> DataFrame:
     return found.where(good).select("key", "rank", F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("rank") + 1).alias("kind"), "found", "start", "end")
 
 
+def _named(x: Column) -> Column:
+    """A name of bounded length: a longer text is named by its SHA-256, behind a sign that makes it longer than any other name."""
+    return F.when(F.length(x) > NAMED, F.concat(F.lit("#"), F.sha2(x, 256))).otherwise(x)
+
+
 def candidates(rows: DataFrame) -> DataFrame:
     """(key, instance, patterns, start, end): identifier-shaped tokens of ``rows`` (key, text) and their lexical patterns.
 
-    A token's neighbours are the ends of the gaps beside it, or the tokens
-    beyond a gap that holds white space alone. Each token is a row, so a very
-    long text is many rows; a token of more than LONGEST code points is no identifier.
+    A token's neighbours are the whole words of the gaps beside it, or the
+    tokens beyond a gap that holds no further word. Each token is a row, so a
+    very long text is many rows. Tokens and neighbours of any length count;
+    instances and patterns are given by their names (see ``_named``).
     """
     gaps, found = F.split("text", TOKEN, -1), F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
+    word = lambda gap, pattern: F.nullif(F.regexp_extract(gap, pattern, 1), F.lit(""))
 
     def spot(g: Column, x: Column, i: Column) -> Column:
         gap, behind = F.get(g, i), F.get(g, i + 1)
-        return F.struct(i.alias("nth"), F.length(gap).alias("gap"), F.right(gap, F.lit(2 * WORD)).alias("left"), x.alias("token"), F.left(behind, F.lit(WORD)).alias("right"))
+        return F.struct(i.alias("nth"), F.length(gap).alias("gap"), x.alias("token"), word(gap, LAST).alias("last"), word(gap, SECOND).alias("second"), word(behind, FIRST).alias("first"))
 
     spots = let(gaps, lambda g: F.transform(found, lambda x, i: spot(g, x, i)))
     order = Window.partitionBy("key").orderBy("nth")
     each = rows.select("key", F.explode(spots).alias("x")).select("key", "x.*")
-    each = each.withColumn("stop", F.sum(F.col("gap") + F.length("token")).over(order).cast("long"))
-    each = each.withColumn("left", F.concat(F.coalesce(F.right(F.lag("token").over(order), F.lit(WORD)), F.lit("")), "left"))
-    each = each.withColumn("right", F.concat("right", F.coalesce(F.left(F.lead("token").over(order), F.lit(WORD)), F.lit(""))))
+    lag = lambda c, n=1: F.lag(c, n).over(order)
+    each = each.select(
+        "key",
+        "token",
+        F.sum(F.col("gap") + F.length("token")).over(order).cast("long").alias("stop"),
+        F.coalesce("last", lag("token")).alias("before"),
+        F.when(F.col("last").isNotNull(), F.coalesce("second", lag("token"))).otherwise(F.coalesce(lag("last"), lag("token", 2))).alias("two"),
+        F.coalesce("first", F.lead("token").over(order)).alias("behind"),
+    )
     instance = F.regexp_replace("token", r"^[^A-Za-z0-9+@]+|(?<![^A-Za-z0-9])[^A-Za-z0-9]++$", "")
     lead = F.length("token") - F.length(F.regexp_replace("token", r"^[^A-Za-z0-9+@]+", ""))
     start = F.col("stop") - F.length("token") + lead
-    each = each.select("key", "left", "right", instance.alias("instance"), start.alias("start")).where(F.col("instance").rlike("[0-9@]") & (F.length("instance") <= LONGEST))
-    word = lambda side, pattern: F.coalesce(F.nullif(F.lower(F.regexp_extract(side, pattern, 1)), F.lit("")), F.lit("^"))
-    before = word("left", r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$")
-    two = word("left", r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+[^\x20\x09-\x0D]+[\x20\x09-\x0D]+$")
-    behind = word("right", r"^[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)")
-    exact = F.regexp_replace(F.regexp_replace("instance", "[0-9]", "9"), "[A-Za-z]+", "a")
-    loose = F.regexp_replace(exact, "9+", "9")
-    patterns = F.array(F.concat_ws(" ", F.lit("1"), before, exact), F.concat_ws(" ", F.lit("1"), before, F.lit("~"), loose), F.concat_ws(" ", F.lit("2"), two, before, loose), F.concat_ws(" ", F.lit("+"), behind, loose))
-    return each.select("key", "instance", patterns.alias("patterns"), "start", (F.col("start") + F.length("instance")).alias("end"))
+    before, two, behind = (F.coalesce(F.lower(c), F.lit("^")).alias(c) for c in ("before", "two", "behind"))
+    each = each.select("key", before, two, behind, instance.alias("instance"), start.alias("start")).where(F.col("instance").rlike("[0-9@]"))
+    each = each.withColumn("exact", F.regexp_replace(F.regexp_replace("instance", "[0-9]", "9"), "[A-Za-z]+", "a"))
+    each = each.withColumn("loose", F.regexp_replace("exact", "9+", "9"))
+    patterns = F.array(F.concat_ws(" ", F.lit("1"), "before", "exact"), F.concat_ws(" ", F.lit("1"), "before", F.lit("~"), "loose"), F.concat_ws(" ", F.lit("2"), "two", "before", "loose"), F.concat_ws(" ", F.lit("+"), "behind", "loose"))
+    return each.select("key", _named(F.col("instance")).alias("instance"), F.transform(patterns, _named).alias("patterns"), "start", (F.col("start") + F.length("instance")).alias("end"))
 
 
 def bootstrap(edges: DataFrame, seeds: DataFrame, rounds: int = 3, least_pattern: float = 0.8, least_score: float = 0.9, least_known: int = 5) -> DataFrame:
-    """(instance): discovered ones. ``edges`` (pattern, instance), ``seeds`` (instance).
+    """(instance): discovered ones. ``edges`` (pattern, instance), ``seeds`` (instance), all by their names.
 
     Patterns and instances are joined on their names, never all at once in one
     task; each round is written to the shared folder.

@@ -216,6 +216,28 @@ def test_contexts_are_precise_and_complete_on_planted_identifiers(spark):
     assert recall >= 0.95 and precision >= 0.95 and not hit & decoys, (recall, precision)
 
 
+def test_contexts_take_words_of_every_length(spark):
+    """Identifiers of over 256 letters, white space of over 80 and neighbours that share their last 40 letters are told apart whole."""
+    rnd = random.Random(3)
+    ip = lambda zeros, first: "0" * zeros + f"{first}.{rnd.randint(1, 255)}.{rnd.randint(1, 255)}.{rnd.randint(1, 255)}"
+    tail = "k" * 45
+    rows = [(i, f"da server {ip(300 + i, 1 + i)} ende") for i in range(40)]
+    rows += [(100, f"da server {ip(400, 999)} ende"), (101, f"da server{' ' * 100}{ip(400, 998)} ende"), (102, f"da sonst {ip(400, 997)} hin")]
+    rows += [(200 + i, f"so a{tail} {ip(0, 1 + i)} so") for i in range(40)] + [(300, f"je a{tail} {ip(0, 999)} je"), (301, f"ja b{tail} {ip(0, 998)} ja")]
+    rows += [(400 + i, f"mit zahl7 {ip(0, 1 + i)}@ w{i}") for i in range(40)] + [(500, "mit zahl7 999.1.2.3@ fort")]
+    spans = by_id(pii.report(*pii.find(spark.createDataFrame(rows, "doc_id bigint, text string"))), "spans")
+    hit = {i for i, (x,) in spans.items() if "context" in x}
+    assert hit == {100, 101, 300, 500} and spans[100] == (f"context:10:{len(rows[40][1]) - 5}",)
+
+
+def test_names_are_of_bounded_length(spark):
+    """The tables that are shuffled hold no long word, and different words have different names."""
+    long = "x1" * 500_000
+    df = spark.createDataFrame([("a", f"{long} {long}y 5"), ("b", f"5 {long}")], "key string, text string")
+    got = [r.asDict() for r in pii.candidates(df).collect()]
+    assert len(got) == 5 and len({r["instance"] for r in got}) == 3 and all(len(x) <= 65 for r in got for x in [r["instance"], *r["patterns"]])
+
+
 ADVERSE = ["a@b.c%d@e.f", "a@b.com.x@y.z", "a@b.c..d@e.f", "1.2.3.4.5.6.7.8.9", "x1.2.3.4", "1.2.3..4.5.6.7", "@@a@b@c.d", "a@b@c@d.e.f@g.h", "12345.1.2.3 9999.1.1.1", "a.b@-.-", "_@_a@a.a_b@c.d", "1.1.1.1@2.2.2.2.2", "++1@x.y+49 170 1234567", "a@b.", "a@b..c", "0000000255.1.1.1", "1.2.3.4a@b.c"]
 
 
