@@ -17,6 +17,8 @@ anywhere, and an item of up to four must be equal throughout.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -74,25 +76,6 @@ def _bit(h: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int"))
 
 
-def _seeds(hs: Column, masks: list[int], wanted: list[Column] | None, bits: Column | None) -> Column:
-    """Array of (at, seed) of the windows under ``masks``, for an array of token hashes.
-
-    Only masks that are ``wanted``; only windows whose start is in the map ``bits``.
-    """
-
-    def under(k: int, starts: Column) -> Column:
-        fits = lambda i: (i <= F.size(hs) - len(ALL_MASKS[k])) & (F.lit(True) if wanted is None else wanted[k])
-        return F.transform(F.filter(starts, fits), lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(k), *[F.get(hs, i + o) for o in _used(k)]).alias("seed")))
-
-    def of_offset(offset: int) -> Column:
-        known = indices(hs)
-        if bits is not None:
-            known = F.filter(known, lambda i: let(_start(hs, i, offset), lambda h: F.get(bits, _word(h)).bitwiseAND(_bit(h)) != 0))
-        return let(known, lambda starts: F.concat(*[under(k, starts) for k in masks if _second(k) == offset]))
-
-    return F.concat(*[of_offset(o) for o in sorted({_second(k) for k in masks})])
-
-
 def _hashes(text: Column, body: Callable[[Column], Column]) -> Column:
     return let(F.transform(tokens(text), lambda w: F.xxhash64(w)), body)
 
@@ -107,12 +90,29 @@ def start_map(items: DataFrame, masks: list[int]) -> Column:
 
 
 def seeds(rows: DataFrame, masks: list[int], by_size: bool, *keys: str, bits: Column | None = None) -> DataFrame:
-    """keys, n (tokens), at, seed of ``rows`` (keys, text). ``by_size``: only under the masks for a text of n tokens."""
-    made = lambda hs: _seeds(hs, masks, _masks_of(F.size(hs)) if by_size else None, None)
+    """keys, n (tokens), at, seed of ``rows`` (keys, text), for the windows under ``masks``.
+
+    ``by_size``: only under the masks for a text of n tokens. ``bits``: only
+    windows whose start is in that map. Each window is a row as soon as its
+    tokens are hashed, so that Spark compiles what is done for each of them.
+    """
+    hashed = rows.select(*keys, F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w)).alias("hs"))
+    # Without _outer Spark infers a filter on the size, for which it makes all tokens once more.
+    each = hashed.select(*keys, "hs", F.posexplode_outer("hs").alias("at", "h")).where(F.col("at").isNotNull())
+    started = {o: F.lit(True) for o in {_second(k) for k in masks}}
     if bits is not None:
-        made = lambda hs: let(bits, lambda m: _seeds(hs, masks, None, m))
-    found = rows.select(*keys, _hashes(F.col("text"), lambda hs: F.struct(F.size(hs).alias("n"), made(hs).alias("windows"))).alias("s"))
-    return found.select(*keys, "s.n", F.inline("s.windows"))
+        for o in started:
+            h = _start(F.col("hs"), F.col("at"), o)
+            started[o] = F.get(bits, _word(h)).bitwiseAND(_bit(h)) != 0
+        each = each.where(reduce(or_, started.values()))
+    n = F.size("hs")
+    wanted = _masks_of(n) if by_size else [F.lit(True)] * len(ALL_MASKS)
+
+    def under(k: int) -> Column:
+        fits = (F.col("at") <= n - len(ALL_MASKS[k])) & wanted[k] & started[_second(k)]
+        return F.when(fits, F.xxhash64(F.lit(k), *[F.get("hs", F.col("at") + o) for o in _used(k)]))
+
+    return each.select(*keys, n.alias("n"), "at", F.explode(F.array(*[under(k) for k in masks])).alias("seed")).where(F.col("seed").isNotNull())
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:

@@ -454,6 +454,16 @@ def test_items_of_every_length_are_found(spark, n, broadcast):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(i, 1) for i in want}
 
 
+def test_benchmark_windows_make_tokens_once(spark):
+    """The plan that hashes windows cuts a text into tokens in one place, and handles each window as a row."""
+    df = spark.createDataFrame([(1, "ein Satz aus sieben Worten mit Ende")], "doc_id bigint, text string")
+    for bits in (None, decontam.start_map(df, [0, 3])):
+        found = decontam.seeds(df, [0, 3], False, "doc_id", bits=bits)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("split(lower(") == 1 and plan.count("posexplode(") == 1
+        assert sorted(r["at"] for r in found.collect()) == [0, 1, 2]
+
+
 @pytest.mark.parametrize("name", ["op3_secret_scan", "op6_benchmark_decontamination", "op10_exact_dedup"])
 def test_registered_query_equals_its_sql(spark, sf_dir, name):
     import duckdb
