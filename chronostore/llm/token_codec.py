@@ -29,7 +29,7 @@ CACHE_BYTES = 32 << 20
 #: Pieces in a string that the library encodes.
 JOINED = 256
 #: Text that is cut into pieces at a time; one longer text is cut alone.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Texts whose ids are gathered together.
 TEXTS = 512
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -192,11 +192,12 @@ class PieceCodec:
 
     def ids(self, texts: pa.Array) -> Iterator[bytes]:
         """Ids of each text in order; null counts as empty. About ``BATCH_BYTES`` of text are held as pieces at a time."""
-        texts = pc.fill_null(texts.cast(pa.string()), "")
-        turn = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // BATCH_BYTES
+        texts = texts.cast(pa.string())
+        turn = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)) // BATCH_BYTES
         edges = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(texts)]
         for a, b in zip(edges, edges[1:]):
-            yield from self._ids(texts.slice(a, b - a))
+            yield from self._ids(pc.fill_null(texts.slice(a, b - a), ""))
+            pa.default_memory_pool().release_unused()
 
     def _ids(self, texts: pa.Array) -> Iterator[bytes]:
         whole = pc.match_substring(texts, self.mark) if self.mark else pa.array(np.zeros(len(texts), dtype=bool))

@@ -42,7 +42,7 @@ def _encoder(path: str, end_id: int) -> Callable:
                 ids = [x + end for x in islice(encoded, rows.num_rows)]
                 n = np.asarray([len(x) // 4 for x in ids], dtype=np.int64)
                 offsets = np.concatenate([[0], np.cumsum(n)])
-                values = pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32))
+                values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column(0),
@@ -90,7 +90,7 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column(3)
         offsets = lists.offsets.to_numpy()
-        data = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False)).astype("<u4", copy=False)
+        data = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False)).view("<u4")
         sums = [crc(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(offsets).astype(np.int64)), pa.array(sums, type=pa.int64())],

@@ -29,3 +29,22 @@ def test_equals_the_library(name, limit, monkeypatch):
     assert list(codec.ids(pa.array(TEXTS, pa.string()))) == want
     assert list(codec.ids(pa.array(TEXTS[:50], pa.string()))) == want[:50]  # words known from before
     assert list(codec.ids(pa.array([], pa.string()))) == []
+
+
+def test_few_megabytes_are_held_as_pieces(monkeypatch):
+    """However much text an Arrow batch has, 4 MB of it and a text are cut at a time, and Arrow's memory is handed back."""
+    held, handed_back, cut = [], [], token_codec.PieceCodec._ids
+
+    class Pool:
+        def release_unused(self):
+            handed_back.append(1)
+
+    def ids(self, texts):
+        held.append(sum(len(t) for t in texts.to_pylist()))
+        yield from cut(self, texts)
+
+    monkeypatch.setattr(token_codec.PieceCodec, "_ids", ids)
+    monkeypatch.setattr(token_codec.pa, "default_memory_pool", Pool)
+    texts = pa.array([None if i % 7 == 0 else f"some words {i} " * 500 for i in range(2000)], pa.string())
+    got = list(token_codec.PieceCodec(public_tokenizers.path("byte_bpe_50k.json")).ids(texts))
+    assert len(got) == 2000 and max(held) <= (4 << 20) + 8_500 and len(handed_back) == len(held) > 2
